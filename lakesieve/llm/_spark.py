@@ -37,7 +37,7 @@ def cut(df: DataFrame, what: str = "table") -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes that `df` holds."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def partitions(df: DataFrame) -> int:

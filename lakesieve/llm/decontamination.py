@@ -25,6 +25,8 @@ from lakesieve.llm._spark import free_name
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
+#: Rows that are handled at once.
+ROWS = 1000
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 WORD = np.array([c != 32 for c in NORMAL])
 
@@ -82,66 +84,70 @@ def scan(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "it
     own = [free_name(keep, n) for n in ("_words", "_items", "_text")]
     carried = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias(own[2])
     state = df.select(*[F.col(f"`{c}`") for c in keep], F.array().cast("array<int>").alias(own[0]), F.array().cast("array<string>").alias(own[1]), carried)
-    for block in item_blocks(items, item_id, item_text, window):
-        state = state.mapInArrow(_pass(block), state.schema)
     schema = T.StructType([df.schema[c] for c in keep])
     schema = schema.add(names["n_words"], T.LongType()).add(names["hit_words"], T.ArrayType(T.IntegerType())).add(names["hit_items"], T.ArrayType(T.StringType())).add(names["hit_spans"], T.ArrayType(T.ArrayType(T.LongType())))
-    return state.mapInArrow(_finish([f.name for f in schema]), schema)
+    blocks = list(item_blocks(items, item_id, item_text, window))
+    for block in blocks[:-1]:
+        state = state.mapInArrow(_pass(block, None), state.schema)
+    return state.mapInArrow(_pass(blocks[-1], [f.name for f in schema]), schema)
 
 
-def _pass(block):
+def _pass(block, names):
+    """One block's hits added to the state; with `names`, the state as the result's columns."""
+
     def run(batches):
         machine = _automaton(block)
-        for batch in batches:
-            *rest, words, items, raw = batch.columns
-            if machine is not None:
-                texts = texts_of(raw)
-                words, items = words.to_pylist(), items.to_pylist()
-                data, offs = texts.data.tobytes(), texts.offs.tolist()
-                for i in range(len(words)):
-                    text = " " + b" ".join(words_of(data[offs[i] : offs[i + 1]])).decode("latin-1") + " "
-                    found, of = [], set()
-                    for end, (n, ids) in machine.iter(text):
-                        found.append((end, n))
-                        of.update(ids)
-                    if found:
-                        spaces = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
-                        last = np.searchsorted(spaces, [e for e, _ in found])  # number of the word after the hit
-                        hit = set(words[i] or ())
-                        for stop, (_, n) in zip(last.tolist(), found, strict=True):
-                            hit.update(range(stop - n, stop))
-                        words[i], items[i] = sorted(hit), sorted(of.union(items[i] or ()))
-                words, items = pa.array(words, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*rest, words, items, raw], batch.schema.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                *rest, words, items, raw = batch.columns
+                texts, words, items = texts_of(raw), words.to_pylist(), items.to_pylist()
+                if machine is not None:
+                    _search(machine, texts, words, items)
+                hits = pa.array(words, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))
+                if names is None:
+                    yield pa.RecordBatch.from_arrays([*rest, *hits, raw], batch.schema.names)
+                else:
+                    counts, spans = _located(texts, words)
+                    yield pa.RecordBatch.from_arrays([*rest, pa.array(counts), *hits, pa.array(spans, pa.list_(pa.list_(pa.int64())))], names)
 
     return run
 
 
-def _finish(names):
-    def run(batches):
-        for batch in batches:
-            *rest, words, items, raw = batch.columns
-            texts = texts_of(raw)
-            ink = WORD[texts.data] if len(texts.data) else np.zeros(0, bool)
-            before = np.concatenate(([False], ink[:-1])) if len(ink) else ink
-            firsts = texts.offs[:-1][np.diff(texts.offs) > 0]
-            begins = ink & ~before
-            begins[firsts] = ink[firsts]
-            counts, spans = texts.sums(begins), []
-            hits = [x or [] for x in words.to_pylist()]
-            for i, hit in enumerate(hits):
-                if not hit:
-                    spans.append([])
-                    continue
-                own = ink[texts.offs[i] : texts.offs[i + 1]]
-                edge = np.diff(np.concatenate(([False], own, [False])).astype(np.int8))
-                starts, ends, at = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), np.array(hit)
-                gap = np.flatnonzero(np.diff(at) > 1)
-                spans.append([[int(starts[a]), int(ends[b])] for a, b in zip(at[np.concatenate(([0], gap + 1))], at[np.concatenate((gap, [len(at) - 1]))], strict=True)])
-            columns = [pa.array(counts), pa.array(hits, pa.list_(pa.int32())), pa.array([x or [] for x in items.to_pylist()], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([*rest, *columns], names)
-
-    return run
+def _search(machine, texts, words: list, items: list) -> None:
+    data, offs = texts.data.tobytes(), texts.offs.tolist()
+    for i in range(len(words)):
+        text = " " + b" ".join(words_of(data[offs[i] : offs[i + 1]])).decode("latin-1") + " "
+        found, of = [], set()
+        for end, (n, ids) in machine.iter(text):
+            found.append((end, n))
+            of.update(ids)
+        if found:
+            spaces = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
+            last = np.searchsorted(spaces, [e for e, _ in found])  # number of the word after the hit
+            hit = set(words[i])
+            for stop, (_, n) in zip(last.tolist(), found, strict=True):
+                hit.update(range(stop - n, stop))
+            words[i], items[i] = sorted(hit), sorted(of.union(items[i]))
+
+
+def _located(texts, hits: list) -> tuple[np.ndarray, list]:
+    """How many words each text has, and the bytes of its runs of hit words."""
+    ink = WORD[texts.data]
+    begins = ink & np.concatenate(([True], ~ink[:-1]))[: len(ink)]
+    firsts = texts.offs[:-1][np.diff(texts.offs) > 0]
+    begins[firsts] = ink[firsts]
+    spans = []
+    for i, hit in enumerate(hits):
+        if not hit:
+            spans.append([])
+            continue
+        own = ink[texts.offs[i] : texts.offs[i + 1]]
+        edge = np.diff(np.concatenate(([False], own, [False])).astype(np.int8))
+        starts, ends, at = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), np.array(hit)
+        gap = np.flatnonzero(np.diff(at) > 1)
+        spans.append([[int(starts[a]), int(ends[b])] for a, b in zip(at[np.concatenate(([0], gap + 1))], at[np.concatenate((gap, [len(at) - 1]))], strict=True)])
+    return texts.sums(begins), spans
 
 
 def filter_documents(df: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesieve.llm import decontamination, mixing, quality_rules, url_filters, warc
+from lakesieve.llm import decontamination, mixing, quality_rules, suffix_dedup, url_filters, warc
 from lakesieve.llm._spark import cut
 
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", *suffix_dedup.measures(), "kept_sha256")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_folder(spark)
     warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
@@ -49,6 +54,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
