@@ -152,7 +152,8 @@ def classes(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) ->
     x, y = at[order[:-1]], at[order[1:]]
     linked = (group[:-1] == group[1:]) & suffixes.equal(x, y, length)
     pairs = np.flatnonzero(linked)
-    real = same_bytes(data, x[pairs], y[pairs], np.full(len(pairs), length))
+    rows = np.lib.stride_tricks.sliding_window_view(data, length)
+    real = np.concatenate([np.zeros(0, bool), *((rows[x[p]] == rows[y[p]]).all(axis=1) for p in np.array_split(pairs, 1 + len(pairs) // 50_000))])
     broken = np.unique(group[pairs[~real]])
     label = np.concatenate(([0], np.cumsum(~linked)))
     for g in broken.tolist():  # a collision: by the bytes themselves
@@ -233,6 +234,25 @@ def _runs(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return docs[first], starts[first], reach[last] - docs[last] * wide
 
 
+def _followers(data: np.ndarray, hashes: np.ndarray, back: np.ndarray, first: np.ndarray, lengths: np.ndarray, rank: tuple) -> np.ndarray:
+    """Records that agree in anchor, offset and all bytes with one that `rank` (least significant first) puts before them."""
+    key = mix(span_hash(prefix_hash(data), first, first + lengths) + back.astype(U64)) ^ hashes
+    order = np.argsort(key, kind="stable")
+    twice = key[order][1:] == key[order][:-1]
+    some = order[np.concatenate(([False], twice)) | np.concatenate((twice, [False]))]
+    order = some[np.lexsort((*(r[some] for r in rank), key[some]))]
+    head = np.concatenate(([True], key[order][1:] != key[order][:-1]))[: len(order)]
+    lead, follow = order[np.flatnonzero(head)[np.cumsum(head) - 1]], np.flatnonzero(~head)
+    mine, theirs = order[follow], lead[follow]
+    alike = (lengths[mine] == lengths[theirs]) & (back[mine] == back[theirs]) & (hashes[mine] == hashes[theirs])
+    return mine[alike & same_bytes(data, first[mine], first[theirs], np.where(alike, lengths[mine], 1))]
+
+
+def _repeated(hashes: np.ndarray) -> np.ndarray:
+    distinct, counts = np.unique(hashes, return_counts=True)
+    return ~_member(hashes, distinct[counts == 1])
+
+
 def _context_messages(buckets: int, length: int):
     """Of each block, the records whose anchor stands elsewhere too, by bucket; and what the block settles by itself."""
 
@@ -241,8 +261,7 @@ def _context_messages(buckets: int, length: int):
             number, ids, texts = block_of(row)
             elsewhere = np.sort(np.concatenate([np.zeros(0, U64), *(unpack(b)[0] for b in row["answers"] or ())]))
             hashes, at, first, last = anchors(texts, length)
-            distinct, counts = np.unique(hashes, return_counts=True)
-            pick = np.flatnonzero(_member(hashes, elsewhere) | ~_member(hashes, distinct[counts == 1]))
+            pick = np.flatnonzero(_member(hashes, elsewhere) | _repeated(hashes))
             if not len(pick):
                 continue
             hashes, at, first, last = hashes[pick], at[pick], first[pick], last[pick]
@@ -250,20 +269,12 @@ def _context_messages(buckets: int, length: int):
             rank = np.empty(len(ids), np.int64)
             rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
             lengths = last - first + length
-            key = mix(span_hash(prefix_hash(texts.data), first, first + lengths) + (at - first).astype(U64)) ^ hashes
-            order = np.lexsort((first, rank[docs], key))
-            head = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-            lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
-            follow = np.flatnonzero(~head)
-            alike = lengths[order[follow]] == lengths[lead[follow]]
-            alike &= same_bytes(texts.data, first[order[follow]], first[lead[follow]], np.where(alike, lengths[order[follow]], 1))
-            settled = order[follow[alike]]
+            settled = _followers(texts.data, hashes, at - first, first, lengths, (first, rank[docs]))
             if len(settled):
                 done = _runs(docs[settled], first[settled] - texts.offs[docs[settled]], first[settled] + lengths[settled] - texts.offs[docs[settled]])
                 yield pa.RecordBatch.from_arrays([pa.array([number % buckets], pa.int32()), pa.array([number], pa.int64()), pa.array([True]), pa.array([pack(*done)], pa.binary())], MESSAGE)
             rest = np.setdiff1d(np.arange(len(pick)), settled)
-            distinct, counts = np.unique(hashes[rest], return_counts=True)
-            rest = rest[_member(hashes[rest], elsewhere) | ~_member(hashes[rest], distinct[counts == 1])]
+            rest = rest[_member(hashes[rest], elsewhere) | _repeated(hashes[rest])]
             rest = rest[np.argsort(hashes[rest], kind="stable")]
             edges = cuts(hashes[rest], buckets).tolist()
             for b in range(buckets):
@@ -302,32 +313,35 @@ def _sorted_suffixes(length: int):
             count, back, docs = count.astype(np.int64), back.astype(np.int64), docs.astype(np.int64)
             sizes = count + length - 1
             base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            record = np.repeat(np.arange(len(count)), count)
-            step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            same = _followers(body, hashes, back, base, sizes, (first, docs, owner, ids))
+            alone = np.setdiff1d(np.arange(len(count)), same)
+            alone = alone[_repeated(hashes[alone])]
+            record = np.repeat(alone, count[alone])
+            step = np.arange(len(record)) - np.repeat(np.cumsum(count[alone]) - count[alone], count[alone])
             key = mix(hashes[record] + (back[record] - step).astype(U64) * U64(0x9E3779B97F4A7C15))
             order = np.argsort(key, kind="stable")
             ordered = key[order]
-            same = np.concatenate(([False], ordered[1:] == ordered[:-1], [False]))
-            many = order[same[1:] | same[:-1]]
+            near = np.concatenate(([False], ordered[1:] == ordered[:-1], [False]))
+            many = order[(near[1:] | near[:-1])[: len(order)]]
             record, step, key = record[many], step[many], key[many]
-            if not len(many):
-                continue
-            group = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+            group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))[: len(key)]
             order, label = classes(body, base[record] + step, group, length)
             record, step = record[order], step[order]
             _, label = np.unique(label, return_inverse=True)
             rank = np.lexsort((first[record] + step, docs[record], owner[record], ids[record], label))
-            head = np.concatenate(([True], label[rank][1:] != label[rank][:-1]))
+            head = np.concatenate(([True], label[rank][1:] != label[rank][:-1]))[: len(rank)]
             lost = rank[~head]
-            record, starts = record[lost], first[record[lost]] + step[lost]
+            starts = np.concatenate((first[record[lost]] + step[lost], first[same]))
+            stops = np.concatenate((first[record[lost]] + step[lost] + length, first[same] + sizes[same]))
+            record = np.concatenate((record[lost], same))
             by = np.argsort(owner[record], kind="stable")
-            record, starts = record[by], starts[by]
+            record, starts, stops = record[by], starts[by], stops[by]
             ends = np.searchsorted(owner[record], np.arange(len(of) + 1)).tolist()
             out: dict[int, list[bytes]] = {}
             for k, (number, _) in enumerate(of):
                 some = slice(ends[k], ends[k + 1])
                 if ends[k + 1] > ends[k]:
-                    out.setdefault(number, []).append(pack(*_runs(docs[record[some]], starts[some], starts[some] + length)))
+                    out.setdefault(number, []).append(pack(*_runs(docs[record[some]], starts[some], stops[some])))
             if out:
                 yield _answers(out)
 
