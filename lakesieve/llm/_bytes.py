@@ -11,7 +11,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Documents are handled in chunks of about so many bytes; a longer document is a chunk by itself.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True

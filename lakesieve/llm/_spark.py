@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Input bytes that one shuffle partition should stand for.
-PARTITION_BYTES = 16 << 20
+PARTITION_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -35,6 +35,11 @@ from lakesieve.llm._spark import partitions
 LENGTH = 100
 #: Bytes of an anchor; a window's offset to its anchor must fit 7 bits.
 GRAM = 32
+SPREAD = U64(0xA0761D6478BD642F)
+#: Windows that are hashed at once.
+PIECE = 1 << 17
+#: Bytes of records that are sorted at once.
+PART_BYTES = 1 << 20
 
 
 def anchors(texts: Texts, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -42,24 +47,35 @@ def anchors(texts: Texts, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     n, span = len(texts.data), length - gram + 1
     if not 0 < span <= 128:
         raise ValueError("a window's offset to its anchor must fit 7 bits")
+    parts = []
+    for low in range(0, max(n - length + 1, 0), PIECE):
+        hashes, least = _least(texts.data[low : low + PIECE + length - 1], gram, span)
+        stop = texts.offs[np.searchsorted(texts.offs, np.arange(low, low + len(least)), "right")]
+        starts = np.flatnonzero(np.arange(low, low + len(least)) + length <= stop)
+        at = starts + (least[starts] & U64(127)).astype(np.int64)
+        turn = np.flatnonzero(at[1:] != at[:-1]) + 1
+        first = np.concatenate(([0], turn))[: len(at)]
+        last = np.concatenate((turn - 1, [len(at) - 1]))[: len(at)]
+        run = [hashes[at[first]], at[first] + low, starts[first] + low, starts[last] + low]
+        if parts and len(at) and len(parts[-1][1]) and parts[-1][1][-1] == run[1][0]:  # a run that goes on here
+            parts[-1][3][-1] = run[3][0]
+            run = [x[1:] for x in run]
+        parts.append(run)
     none = np.zeros(0, np.int64)
-    if n < length:
-        return none.astype(U64), none, none, none
-    prefix = prefix_hash(texts.data)
-    hashes = mix((prefix[gram:] - prefix[:-gram]) * powers(_bytes.INVERSE, n - gram + 1))
+    hashes, at, first, last = (np.concatenate([none.astype(U64) if k == 0 else none, *(p[k] for p in parts)]) for k in range(4))
+    return mix(hashes ^ SPREAD), at, first, last  # least hashes crowd at the low end
+
+
+def _least(data: np.ndarray, gram: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all substrings of `gram` bytes; per window of `span` of them the least, with its offset in the low 7 bits."""
+    prefix = prefix_hash(data)
+    hashes = mix((prefix[gram:] - prefix[:-gram]) * powers(_bytes.INVERSE, len(data) - gram + 1))
     least, have = hashes & ~U64(127), 1
     while have < span:
         step = min(have, span - have)
         least = np.minimum(least[:-step], least[step:] + U64(step))
         have += step
-    ends = np.repeat(texts.offs[1:], np.diff(texts.offs))[: len(least)]
-    starts = np.flatnonzero(np.arange(len(least)) + length <= ends)
-    if not len(starts):
-        return none.astype(U64), none, none, none
-    at = starts + (least[starts] & U64(127)).astype(np.int64)
-    turn = np.flatnonzero(at[1:] != at[:-1]) + 1
-    first, last = np.concatenate(([0], turn)), np.concatenate((turn - 1, [len(at) - 1]))
-    return hashes[at[first]], at[first], starts[first], starts[last]
+    return hashes, least
 
 
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -306,48 +322,68 @@ def _sorted_suffixes(length: int):
         while held:
             _, of = held.popitem()
             of.sort()
-            parts = [unpack(blob) for _, blob in of]
-            hashes, ids, docs, first, back, count, body = (np.concatenate(x) for x in zip(*parts, strict=True))
-            owner = np.repeat(np.arange(len(of)), [len(p[0]) for p in parts])
-            del parts
-            count, back, docs = count.astype(np.int64), back.astype(np.int64), docs.astype(np.int64)
-            sizes = count + length - 1
-            base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            same = _followers(body, hashes, back, base, sizes, (first, docs, owner, ids))
-            alone = np.setdiff1d(np.arange(len(count)), same)
-            alone = alone[_repeated(hashes[alone])]
-            record = np.repeat(alone, count[alone])
-            step = np.arange(len(record)) - np.repeat(np.cumsum(count[alone]) - count[alone], count[alone])
-            key = mix(hashes[record] + (back[record] - step).astype(U64) * U64(0x9E3779B97F4A7C15))
-            order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            near = np.concatenate(([False], ordered[1:] == ordered[:-1], [False]))
-            many = order[(near[1:] | near[:-1])[: len(order)]]
-            record, step, key = record[many], step[many], key[many]
-            group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))[: len(key)]
-            order, label = classes(body, base[record] + step, group, length)
-            record, step = record[order], step[order]
-            _, label = np.unique(label, return_inverse=True)
-            rank = np.lexsort((first[record] + step, docs[record], owner[record], ids[record], label))
-            head = np.concatenate(([True], label[rank][1:] != label[rank][:-1]))[: len(rank)]
-            lost = rank[~head]
-            starts = np.concatenate((first[record[lost]] + step[lost], first[same]))
-            stops = np.concatenate((first[record[lost]] + step[lost] + length, first[same] + sizes[same]))
-            record = np.concatenate((record[lost], same))
-            by = np.argsort(owner[record], kind="stable")
-            record, starts, stops = record[by], starts[by], stops[by]
-            ends = np.searchsorted(owner[record], np.arange(len(of) + 1)).tolist()
-            out: dict[int, list[bytes]] = {}
-            for k, (number, _) in enumerate(of):
-                some = slice(ends[k], ends[k + 1])
-                if ends[k + 1] > ends[k]:
-                    out.setdefault(number, []).append(pack(*_runs(docs[record[some]], starts[some], stops[some])))
-            if out:
-                yield _answers(out)
+            for owner, hashes, ids, docs, first, back, count, body in _by_range([unpack(blob) for _, blob in of], length):
+                out = _lost(owner, hashes, ids, docs, first, back, count, body, length, [number for number, _ in of])
+                if out:
+                    yield _answers(out)
 
     return run
 
 
+def _by_range(parts: list[list[np.ndarray]], length: int):
+    """The records of all parts, as many anchor hashes at a time as have about PART_BYTES of text, with the part of each."""
+    held = sum(len(p[-1]) for p in parts)
+    every = np.sort(np.concatenate([p[0] for p in parts]))
+    number = max(1, held // PART_BYTES)
+    bounds = np.unique(every[np.arange(1, number) * len(every) // number])
+    edges = [np.concatenate(([0], np.searchsorted(p[0], bounds), [len(p[0])])) for p in parts]
+    offs = [np.concatenate(([0], np.cumsum(p[5].astype(np.int64) + length - 1))) for p in parts]
+    for k in range(len(bounds) + 1):
+        some = [(i, int(e[k]), int(e[k + 1])) for i, e in enumerate(edges) if e[k + 1] > e[k]]
+        if not some:
+            continue
+        owner = np.repeat([i for i, _, _ in some], [hi - lo for _, lo, hi in some])
+        columns = [np.concatenate([parts[i][c][lo:hi] for i, lo, hi in some]) for c in range(6)]
+        body = np.concatenate([parts[i][6][offs[i][lo] : offs[i][hi]] for i, lo, hi in some])
+        yield owner, *(c if j < 2 else c.astype(np.int64) for j, c in enumerate(columns)), body
+
+
+def _lost(owner, hashes, ids, docs, first, back, count, body, length: int, blocks: list[int]) -> dict[int, list[bytes]]:
+    """For each block, the runs that its documents lose by the records at hand."""
+    sizes = count + length - 1
+    base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    same = _followers(body, hashes, back, base, sizes, (first, docs, owner, ids))
+    alone = np.setdiff1d(np.arange(len(count)), same)
+    alone = alone[_repeated(hashes[alone])]
+    record = np.repeat(alone, count[alone])
+    step = np.arange(len(record)) - np.repeat(np.cumsum(count[alone]) - count[alone], count[alone])
+    key = mix(hashes[record] + (back[record] - step).astype(U64) * U64(0x9E3779B97F4A7C15))
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    near = np.concatenate(([False], ordered[1:] == ordered[:-1], [False]))
+    many = order[(near[1:] | near[:-1])[: len(order)]]
+    record, step, key = record[many], step[many], key[many]
+    group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))[: len(key)]
+    order, label = classes(body, base[record] + step, group, length)
+    record, step = record[order], step[order]
+    _, label = np.unique(label, return_inverse=True)
+    rank = np.lexsort((first[record] + step, docs[record], owner[record], ids[record], label))
+    head = np.concatenate(([True], label[rank][1:] != label[rank][:-1]))[: len(rank)]
+    lost = rank[~head]
+    starts = np.concatenate((first[record[lost]] + step[lost], first[same]))
+    stops = np.concatenate((first[record[lost]] + step[lost] + length, first[same] + sizes[same]))
+    record = np.concatenate((record[lost], same))
+    by = np.argsort(owner[record], kind="stable")
+    record, starts, stops = record[by], starts[by], stops[by]
+    ends = np.searchsorted(owner[record], np.arange(len(blocks) + 1)).tolist()
+    out: dict[int, list[bytes]] = {}
+    for k, number in enumerate(blocks):
+        some = slice(ends[k], ends[k + 1])
+        if ends[k + 1] > ends[k]:
+            out.setdefault(number, []).append(pack(*_runs(docs[record[some]], starts[some], stops[some])))
+    return out
+
+
 def lost_runs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, start, end) of the runs that a block's documents lose."""
     parts = [unpack(b) for b in row["answers"] or ()]

@@ -28,6 +28,8 @@ def rows(df):
 
 def test_against_brute_force(spark, sf, tables, monkeypatch):
     monkeypatch.setattr(_bytes, "CHUNK_BYTES", 3000)  # many blocks
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 150)
     docs = planted()
     folder = tables(documents=docs)
     assert rows(Q["op1_suffix_dedup"](spark, folder)) == repeats(docs)
@@ -35,6 +37,13 @@ def test_against_brute_force(spark, sf, tables, monkeypatch):
     assert rows(Q["op1_suffix_dedup"](spark, sf)) == repeats(whole)
 
 
+def test_ranges_keep_a_hash_together():
+    part = lambda h: [np.array(h, np.uint64), *(np.arange(len(h)) for _ in range(4)), np.ones(len(h), np.uint8), np.zeros(100 * len(h), np.uint8)]
+    parts = [part([1, 1, 2, 9]), part([]), part([2, 2, 2, 3])]
+    got = [(o.tolist(), h.tolist(), len(b)) for o, h, *_, b in suffix_dedup._by_range(parts, 100)]
+    assert sum(got, ()) == ([0, 0, 0, 0, 2, 2, 2, 2], [1, 1, 2, 9, 2, 2, 2, 3], 800)
+
+
 def test_collisions_are_found(monkeypatch):
     # a hash that only adds up bytes calls every permutation equal
     monkeypatch.setattr(suffix_dedup, "prefix_hash", lambda v: np.concatenate((np.zeros(1, np.uint64), np.cumsum(v.astype(np.uint64)))))
@@ -68,3 +77,12 @@ def test_repeated_rows_clashing_columns_and_empty_table(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id, r.text, r.rest) for r in kept.collect() if r.doc_id != 1) == [(2, "é", "z"), (3, "", None)]
     assert suffix_dedup.dedup(df.limit(0)).count() == 0 and suffix_dedup.dedup_documents(df.limit(0)).count() == 0
+
+
+def test_anchors_do_not_depend_on_pieces(monkeypatch):
+    rnd = np.random.default_rng(4)
+    texts = _bytes.Texts(rnd.integers(97, 100, 5000).astype(np.uint8), np.array([0, 0, 40, 1500, 1599, 1700, 5000]))
+    want = suffix_dedup.anchors(texts)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 77)
+    for a, b in zip(want, suffix_dedup.anchors(texts), strict=True):
+        assert (a == b).all()
