@@ -7,9 +7,9 @@ finds partners that differ there by one element. If the sum of v + 1 exceeds H,
 segments get v = 1 is chosen for each band by cost (index entries against expected chance matches). An empty subset is
 never indexed: a set for which that leaves too little is indexed under further hash seeds, and under every element if all fail.
 
-Sets that share an entry form a group. Each group's members are first verified against its least id; what those links do
-not connect is verified in pairs. Members of a group of over HOT members that can do without it (their other segments
-suffice for the pigeonhole) leave it there, so that a common passage is no reason to compare all who have it.
+Sets that share an entry form a group. Members of a group of over HOT members that can do without it (their segments
+outside such groups suffice for the pigeonhole) leave it, so that a common passage is no reason to compare all who have
+it. Each group's members are first verified against its least id; what those links do not connect is verified in pairs.
 Verification compares whole sets of 64-bit shingle hashes. Hubs are salted by their number of links.
 
 Texts without words and null texts have an empty set and no links. A row without id is linked with nothing and has no
@@ -36,7 +36,7 @@ WORDS = 5
 #: Similarity as a fraction of whole numbers.
 SIMILARITY = (80, 100)
 #: Groups of more members are left by those who can do without.
-HOT = 64
+HOT = 16
 SEEDS = 6
 GROWTH = (3, 2)
 #: Cost of a chance match against that of an index entry, and the share of elements that two sets have by chance.
@@ -148,7 +148,9 @@ def index(tokens: np.ndarray, sizes: np.ndarray, similarity=SIMILARITY) -> tuple
         of = np.repeat(left, size)
         found.append(mix(tokens[at] ^ mix(band[of].astype(U64) + U64(0x51ED27))))
         rows.append(of)
-    return np.concatenate(found), np.concatenate(rows), sets, band, np.clip(spare, 0, 255)
+    # losing an entry of a segment with v = 1 costs 2 of what there is to spare
+    doubles = np.array([plan(int(edges[b + 1]) - 1, similarity)[1] > 0 for b in band.tolist()], bool)
+    return np.concatenate(found), np.concatenate(rows), sets, band, np.clip(np.where(doubles, spare // 2, spare), 0, 255)
 
 
 ROW = "bucket int, kind string, blob binary"
@@ -183,21 +185,24 @@ def _messages(buckets: int, words: int, similarity):
                 if twins:
                     rows.append((rows[0][0], "links", pack(*np.array(twins, np.int64).T)))
                 entry, row, sets, band, spare = index(tokens[np.repeat(alone, sizes)], sizes[alone], similarity)
-                ids = ids[alone]
+                ids, size = ids[alone], sizes[alone]
                 order = np.argsort(entry)
                 entry, row = entry[order], row[order]
                 edge = cuts(entry, buckets).tolist()
                 for b in range(buckets):
                     if edge[b + 1] > edge[b]:
                         used, mine = np.unique(row[edge[b] : edge[b + 1]], return_inverse=True)
-                        rows.append((b, "entries", pack(entry[edge[b] : edge[b + 1]], mine.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), ids[sets[used]], band[used].astype(np.uint8), spare[used].astype(np.uint8))))
+                        rows.append((b, "entries", pack(entry[edge[b] : edge[b + 1]], mine.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), ids[sets[used]], band[used].astype(np.uint8), spare[used].astype(np.uint8), size[sets[used]].astype(np.uint32))))
                 yield _batch(rows)
 
     return run
 
 
-def _groups(hot: int):
-    """Groups of two or more ids that share an entry, equal groups of a bucket once; of large groups also who is in them."""
+def _groups(hot: int, similarity):
+    """Groups of two or more ids that share an entry, equal groups of a bucket once, and the pairs with their least id."""
+
+    def close(n, m):
+        return similarity[1] * np.minimum(n, m) >= similarity[0] * np.maximum(n, m)
 
     def run(batches):
         held: dict[int, list[bytes]] = {}
@@ -211,36 +216,41 @@ def _groups(hot: int):
             b, blobs = held.popitem()
             parts = [unpack(x) for x in blobs]
             entry, row = np.concatenate([p[0] for p in parts]), np.concatenate([p[1].astype(np.int64) + n for p, n in zip(parts, np.cumsum([0, *(len(p[2]) for p in parts)]), strict=False)])
-            ids, band, spare = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
+            ids, band, spare, sizes = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (2, 3, 4, 5))
             del parts
             order = np.argsort(entry)
             ordered = entry[order]
             near = np.concatenate(([False], ordered[1:] == ordered[:-1], [False]))
             many = order[(near[1:] | near[:-1])[: len(order)]]
-            if not len(many):
-                continue
             many = many[np.lexsort((ids[row[many]], entry[many]))]
             key, member = entry[many], ids[row[many]]
-            keep = np.concatenate(([True], (key[1:] != key[:-1]) | (member[1:] != member[:-1])))
-            many, key, member = many[keep], key[keep], member[keep]
+            keep = np.concatenate(([True], (key[1:] != key[:-1]) | (member[1:] != member[:-1])))[: len(key)]
+            key, member, row = key[keep], member[keep], row[many[keep]]
+            if not len(key):
+                continue
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.concatenate((first, [len(key)])))
+            rows = []
+            large = np.repeat(size > hot, size)
+            if large.any():  # how many such entries a set has, and what it has to spare
+                used, n = np.unique(row[large], return_counts=True)
+                rows.append((b, "load", pack(ids[used], band[used], n, spare[used])))
             digest = mix(np.add.reduceat(mix(member.astype(U64)), first) + size.astype(U64))
-            large = size > hot
-            if large.any():
-                inside = np.flatnonzero(np.repeat(large, size))
-                rows = row[many[inside]]
-                yield _batch([(b, "hot", pack(key[inside], member[inside], band[rows], spare[rows]))])
             _, one = np.unique(digest, return_index=True)
             one = one[size[one] > 1]
             pick = np.repeat(first[one] - (np.cumsum(size[one]) - size[one]), size[one]) + np.arange(int(size[one].sum()))
-            small = ~large[one]
-            if len(one):
-                stars = np.unique(np.stack((np.repeat(member[first[one]], size[one]), member[pick])), axis=1)
-                yield _batch([(b, "stars", pack(*stars[:, stars[0] != stars[1]]))])
-            if small.any():
-                mine = np.repeat(small, size[one])
-                yield _batch([(b, "groups", pack(np.repeat(digest[one][small], size[one][small]), member[pick][mine]))])
+            name, least, mine = np.repeat(digest[one], size[one]), np.repeat(first[one], size[one]), row[pick]
+            big = np.repeat(size[one] > hot, size[one])
+            pair = close(sizes[row[least]], sizes[mine]) & (member[least] != member[pick])
+            if (some := pair & ~big).any():
+                rows.append((b, "stars", pack(*np.unique(np.stack((member[least[some]], member[pick[some]])), axis=1))))
+            if (some := pair & big).any():
+                rows.append((b, "large stars", pack(*np.unique(np.stack((member[least[some]], member[pick[some]], band[mine[some]])), axis=1))))
+            if not big.all():
+                rows.append((b, "groups", pack(name[~big], member[pick[~big]], sizes[mine[~big]])))
+            if big.any():
+                rows.append((b, "large groups", pack(name[big], member[pick[big]], sizes[mine[big]], band[mine[big]])))
+            yield _batch(rows)
 
     return run
 
@@ -312,36 +322,38 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     n = partitions(docs)
     buckets = 2 * n
     narrow = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t"))
-    found = narrow.mapInArrow(_messages(buckets, words, similarity), ROW).repartition(n, "bucket").mapInArrow(_groups(HOT), ROW)
+    found = narrow.mapInArrow(_messages(buckets, words, similarity), ROW).repartition(n, "bucket").mapInArrow(_groups(HOT, similarity), ROW)
     found = cut(found, "groups")
     twins = _rows(found, "links", "a bigint, b bigint")
-    stars = cut(_rows(found, "stars", "a bigint, b bigint").distinct(), "stars")
-    groups = _rows(found, "groups", "g bigint, id bigint").distinct()
-    groups = cut(groups.unionByName(_needed(found)).distinct(), "members")
+    load = _rows(found, "load", "id bigint, band bigint, n bigint, spare bigint").groupBy("id", "band").agg(F.sum("n").alias("n"), F.min("spare").alias("spare"))
+    bound = cut(load.where("n > spare").select("id", "band"), "bound")
+    if bound.count() <= MAX_BROADCAST_IDS:
+        bound = F.broadcast(bound)
+    large_stars = _rows(found, "large stars", "a bigint, id bigint, band bigint").join(bound, ["id", "band"], "left_semi").select("a", F.col("id").alias("b"))
+    stars = cut(_rows(found, "stars", "a bigint, b bigint").unionByName(large_stars).distinct(), "stars")
     ids = cut(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     sets = _set_table(docs, ids, doc_id, text, words)
     links = cut(twins.unionByName(verified(stars, sets, similarity)).distinct(), "links")
     first = components(links)
     # what the links to each group's least id left apart
-    placed = groups.join(first, "id", "left").select("g", "id", F.coalesce("component", "id").alias("c"))
+    groups = _rows(found, "groups", "g bigint, id bigint, n bigint")
+    large = _rows(found, "large groups", "g bigint, id bigint, n bigint, band bigint").join(bound, ["id", "band"], "left_semi").select("g", "id", "n")
+    placed = groups.unionByName(large).join(first, "id", "left").select("g", "id", "n", F.coalesce("component", "id").alias("c"))
     apart = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
-    apart = cut(placed.join(apart, "g", "left_semi"), "apart")
-    other = apart.withColumnsRenamed({"id": "id2", "c": "c2"})
-    pairs = apart.join(other, "g").where("c < c2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    apart = cut(placed.join(apart, "g", "left_semi").distinct(), "apart")
+    other = apart.withColumnsRenamed({"id": "id2", "c": "c2", "n": "n2"})
+    t, whole = similarity
+    close = (F.least("n", "n2") * whole >= F.greatest("n", "n2") * t) & (F.col("c") < F.col("c2"))
+    pairs = apart.join(other, "g").where(close).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
     pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = sets.unionByName(_set_table(docs, cut(ids.join(sets, "id", "left_anti"), "ids"), doc_id, text, words))
     more = cut(verified(pairs, sets, similarity), "links")
     if more.isEmpty():
         return _rows(found, "sizes", "doc_id bigint, n_shingles bigint"), first
     return _rows(found, "sizes", "doc_id bigint, n_shingles bigint"), components(links.unionByName(more))
 
 
-def _needed(found: DataFrame) -> DataFrame:
-    """(g, id) of large groups, of those members only that can't do without them."""
-    hot = _rows(found, "hot", "g bigint, id bigint, band bigint, spare bigint")
-    bound = hot.groupBy("id", "band").agg(F.countDistinct("g").alias("n"), F.min("spare").alias("spare")).where("n > spare").select("id", "band")
-    return hot.join(bound, ["id", "band"], "left_semi").select("g", "id")
-
-
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity=SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: component_id is the least id that links reach, itself included."""
     sizes, found = linked(docs, doc_id, text, words, similarity)
