@@ -10,7 +10,8 @@ never indexed: a set for which that leaves too little is indexed under further h
 Sets that share an entry form a group. Members of a group of over HOT members that can do without it (their segments
 outside such groups suffice for the pigeonhole) leave it, so that a common passage is no reason to compare all who have
 it. Each group's members are first verified against its least id; what those links do not connect is verified in pairs.
-Verification compares whole sets of 64-bit shingle hashes. Hubs are salted by their number of links.
+Verification first compares shortened hashes, which can only make sets look more
+alike, and then whole sets of 64-bit shingle hashes. Hubs are salted by their number of links.
 
 Texts without words and null texts have an empty set and no links. A row without id is linked with nothing and has no
 component. Rows of equal id count as one document: they share a component and each keeps its own set size. Repeated rows
@@ -39,6 +40,10 @@ SIMILARITY = (80, 100)
 HOT = 16
 SEEDS = 6
 GROWTH = (3, 2)
+#: Segments beyond those the pigeonhole asks for, as a share of H: a set can then leave out its subsets of one element.
+SPARE = 0.2
+#: Sets of up to so many elements are first compared by the top 16 bits of their hashes, larger ones by 32.
+SHORT_SET = 2000
 #: Cost of a chance match against that of an index entry, and the share of elements that two sets have by chance.
 MATCH_COST, CHANCE = 50.0, 0.15
 #: Links that one task verifies against the same set.
@@ -83,7 +88,7 @@ def plan(most: int, similarity: tuple[int, int] = SIMILARITY) -> tuple[int, int,
     """(H, segments with v = 1, segments with v = 0) for sets of up to `most` elements, at the least cost."""
     t, whole = similarity
     differ = 2 * most * (whole - t) // (whole + t)
-    need = differ + 1 + math.ceil(0.03 * differ)  # some to spare for empty subsets
+    need = differ + 1 + math.ceil(SPARE * differ)  # some to spare for subsets of no element or one
     best = None
     for pairs in range(need // 2 + 1):
         single = need - 2 * pairs
@@ -115,7 +120,11 @@ def entries(tokens: np.ndarray, sizes: np.ndarray, band: np.ndarray, seed: int,
     t, whole = similarity
     differ = np.minimum(differ, sizes * (whole - t) // t)  # a set's own size bounds how far a partner can differ
     spare = 2 * pairs + plans[:, 2] - np.bincount(owner, lost, len(sizes)).astype(np.int64) - differ - 1
-    full = np.flatnonzero(counts > 0)
+    # subsets of one element match by chance; a set that can do without leaves them out, and those that can't still meet
+    single = np.bincount(owner, (counts == 1) & ~double, len(sizes)).astype(np.int64)
+    bare = spare >= single
+    spare = np.where(bare, spare - single, spare)
+    full = np.flatnonzero((counts > 1) | ((counts == 1) & ~bare[owner]))
     near = np.flatnonzero(double[place] & (counts[place] > 1))
     out = np.concatenate((mix(sums[full] + tag[full]), mix(sums[place[near]] - value[near] + tag[place[near]])))
     return out, np.concatenate((owner[full], of[near])), spare
@@ -268,8 +277,19 @@ def _rows(table: DataFrame, kind: str, schema: str) -> DataFrame:
     return table.where(F.col("kind") == kind).select("blob").mapInArrow(run, schema)
 
 
-def _set_table(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(id, blob of the sorted set) of the documents in `ids`."""
+def _shortened(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> U64(48)).astype(np.uint16) if len(tokens) <= SHORT_SET else (tokens >> U64(32)).astype(np.uint32)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements of b are in a; of shortened hashes, as many at least as the sets share."""
+    if a.dtype != b.dtype and len(a) and len(b):
+        a, b = ((x >> np.uint32(16)).astype(np.uint16) if x.dtype == np.uint32 else x for x in (a, b))
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum()) if len(a) and len(b) else 0
+
+
+def _set_table(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, words: int, short: bool) -> DataFrame:
+    """(id, n, blob) of the documents in `ids`: the set's size and its sorted hashes, shortened or whole."""
     few = ids.count() <= MAX_BROADCAST_IDS
     chosen = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t"))
     chosen = chosen.join(F.broadcast(ids) if few else ids, "id", "left_semi")
@@ -279,35 +299,36 @@ def _set_table(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, words: i
             for at, texts in chunks(texts_of(batch.column(1))):
                 tokens, sizes = shingle_sets(texts, words)
                 ends = np.cumsum(sizes).tolist()
-                raw = [tokens[e - n : e].tobytes() for e, n in zip(ends, sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(raw, pa.binary())], ["id", "blob"])
+                sets = (tokens[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True))
+                raw = [(_shortened(x) if short else x).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sizes), pa.array(raw, pa.binary())], ["id", "n", "blob"])
 
-    return cut(chosen.mapInArrow(run, "id bigint, blob binary"), "sets")
+    return cut(chosen.mapInArrow(run, "id bigint, n bigint, blob binary"), "sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity=SIMILARITY) -> DataFrame:
-    """Those of the `pairs` (a, b) whose sets are similar enough."""
+def _compared(pairs: DataFrame, sets: DataFrame, similarity) -> DataFrame:
+    """Those of the `pairs` (a, b) whose sets are similar enough; by shortened hashes, those that may be."""
     t, whole = similarity
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_LINKS).cast("int").alias("salts"))
     lead = salts.select(F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets, "id")
-    lead = lead.select(F.col("id").alias("a"), "salt", F.lit(None).cast("bigint").alias("b"), "blob")
+    lead = lead.select(F.col("id").alias("a"), "salt", F.lit(None).cast("bigint").alias("b"), "n", "blob")
     other = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("id")).join(sets, "id")
-    other = other.select("a", "salt", F.col("id").alias("b"), "blob")
+    other = other.select("a", "salt", F.col("id").alias("b"), "n", "blob")
 
     def run(batches):
         at, own = None, []
         for batch in batches:
             left, right = [], []
-            for a, salt, b, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mine = np.frombuffer(blob, U64)
+            for a, salt, b, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = np.frombuffer(blob, f"u{len(blob) // n}") if n else np.zeros(0, U64)
                 if at != (a, salt):
                     at, own = (a, salt), []
                 if b is None:
-                    own.append(mine)
+                    own.append((n, mine))
                     continue
-                for x in own:
-                    same = int((x[np.minimum(np.searchsorted(x, mine), len(x) - 1)] == mine).sum()) if len(x) and len(mine) else 0
-                    if same and whole * same >= t * (len(x) + len(mine) - same):
+                for m, x in own:
+                    same = min(_common(x, mine), m, n)
+                    if same and whole * same >= t * (n + m - same):
                         left.append(a)
                         right.append(b)
                         break
@@ -317,6 +338,16 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity=SIMILARITY) -> DataFr
     return lead.unionByName(other).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int = WORDS, similarity=SIMILARITY) -> DataFrame:
+    """Those of the `pairs` (a, b) of documents whose sets are similar enough."""
+
+    def ends(table):
+        return cut(table.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+
+    maybe = cut(_compared(pairs, _set_table(docs, ends(pairs), doc_id, text, words, True), similarity), "pairs")
+    return cut(_compared(maybe, _set_table(docs, ends(maybe), doc_id, text, words, False), similarity), "links")
+
+
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity=SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles) of every row, and (id, component) of every document that has a link."""
     n = partitions(docs)
@@ -331,9 +362,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
         bound = F.broadcast(bound)
     large_stars = _rows(found, "large stars", "a bigint, id bigint, band bigint").join(bound, ["id", "band"], "left_semi").select("a", F.col("id").alias("b"))
     stars = cut(_rows(found, "stars", "a bigint, b bigint").unionByName(large_stars).distinct(), "stars")
-    ids = cut(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sets = _set_table(docs, ids, doc_id, text, words)
-    links = cut(twins.unionByName(verified(stars, sets, similarity)).distinct(), "links")
+    links = cut(twins.unionByName(verified(stars, docs, doc_id, text, words, similarity)).distinct(), "links")
     first = components(links)
     # what the links to each group's least id left apart
     groups = _rows(found, "groups", "g bigint, id bigint, n bigint")
@@ -346,9 +375,9 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     close = (F.least("n", "n2") * whole >= F.greatest("n", "n2") * t) & (F.col("c") < F.col("c2"))
     pairs = apart.join(other, "g").where(close).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
     pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = sets.unionByName(_set_table(docs, cut(ids.join(sets, "id", "left_anti"), "ids"), doc_id, text, words))
-    more = cut(verified(pairs, sets, similarity), "links")
+    if pairs.isEmpty():
+        return _rows(found, "sizes", "doc_id bigint, n_shingles bigint"), first
+    more = verified(pairs, docs, doc_id, text, words, similarity)
     if more.isEmpty():
         return _rows(found, "sizes", "doc_id bigint, n_shingles bigint"), first
     return _rows(found, "sizes", "doc_id bigint, n_shingles bigint"), components(links.unionByName(more))

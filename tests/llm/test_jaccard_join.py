@@ -39,6 +39,7 @@ def test_against_brute_force(spark, sf, tables, monkeypatch, hot):
     monkeypatch.setattr(_bytes, "CHUNK_BYTES", 4000)
     monkeypatch.setattr(jaccard_join, "HOT", hot)
     monkeypatch.setattr(jaccard_join, "SALT_LINKS", 7)
+    monkeypatch.setattr(jaccard_join, "SHORT_SET", 100)
     docs = planted(hot)
     folder = tables(documents=docs)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in Q["op7_jaccard_join"](spark, folder).collect()} == components(docs)
