@@ -9,7 +9,7 @@ never indexed: a set for which that leaves too little is indexed under further h
 
 Sets that share an entry form a group. Members of a group of over HOT members that can do without it (their segments
 outside such groups suffice for the pigeonhole) leave it, so that a common passage is no reason to compare all who have
-it. Each group's members are first verified against its least id; what those links do not connect is verified in pairs.
+it. Each group's members are first verified against its least id; what those links do not connect is verified in pairs, where two sets share as many entries as the pigeonhole asks of similar ones.
 Verification first compares shortened hashes, which can only make sets look more
 alike, and then whole sets of 64-bit shingle hashes. Hubs are salted by their number of links.
 
@@ -49,6 +49,8 @@ MATCH_COST, CHANCE = 50.0, 0.15
 #: Links that one task verifies against the same set.
 SALT_LINKS = 500
 MAX_BROADCAST_IDS = 4_000_000
+#: Rounds in which members without a possible partner go before pairs are made.
+PEELS = 6
 
 
 def shingle_sets(texts: Texts, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -244,21 +246,22 @@ def _groups(hot: int, similarity):
             if large.any():  # how many such entries a set has, and what it has to spare
                 used, n = np.unique(row[large], return_counts=True)
                 rows.append((b, "load", pack(ids[used], band[used], n, spare[used])))
-            digest = mix(np.add.reduceat(mix(member.astype(U64)), first) + size.astype(U64))
-            _, one = np.unique(digest, return_index=True)
-            one = one[size[one] > 1]
+            digest = mix(np.add.reduceat(mix(member.astype(U64)), first) + size.astype(U64)) ^ mix(band[row[first]].astype(U64) + U64(1))
+            _, one, times = np.unique(digest, return_index=True, return_counts=True)
+            one, times = one[size[one] > 1], times[size[one] > 1]
             pick = np.repeat(first[one] - (np.cumsum(size[one]) - size[one]), size[one]) + np.arange(int(size[one].sum()))
             name, least, mine = np.repeat(digest[one], size[one]), np.repeat(first[one], size[one]), row[pick]
             big = np.repeat(size[one] > hot, size[one])
+            told = name, member[pick], sizes[mine], band[mine], spare[mine], np.repeat(times, size[one])
             pair = close(sizes[row[least]], sizes[mine]) & (member[least] != member[pick])
             if (some := pair & ~big).any():
                 rows.append((b, "stars", pack(*np.unique(np.stack((member[least[some]], member[pick[some]])), axis=1))))
             if (some := pair & big).any():
                 rows.append((b, "large stars", pack(*np.unique(np.stack((member[least[some]], member[pick[some]], band[mine[some]])), axis=1))))
             if not big.all():
-                rows.append((b, "groups", pack(name[~big], member[pick[~big]], sizes[mine[~big]])))
+                rows.append((b, "groups", pack(*(x[~big] for x in told))))
             if big.any():
-                rows.append((b, "large groups", pack(name[big], member[pick[big]], sizes[mine[big]], band[mine[big]])))
+                rows.append((b, "large groups", pack(*(x[big] for x in told))))
             yield _batch(rows)
 
     return run
@@ -348,6 +351,24 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, words: i
     return cut(_compared(maybe, _set_table(docs, ends(maybe), doc_id, text, words, False), similarity), "links")
 
 
+def _peeled(members: DataFrame) -> DataFrame:
+    """Members that may still have a partner in another component: similar sets share more than `asked` - 1 entries.
+
+    What goes leaves groups with one component, so others may follow in the next round.
+    """
+    before = members.count()
+    for _ in range(PEELS):
+        crossing = members.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
+        members = members.join(crossing, "g", "left_semi")
+        able = members.groupBy("id", "band").agg(F.sum("times").alias("s"), F.max("asked").alias("asked")).where("s >= asked").select("id", "band")
+        members = cut(members.join(able, ["id", "band"], "left_semi"), "apart")
+        now = members.count()
+        if now > 0.95 * before:
+            break
+        before = now
+    return members
+
+
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity=SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles) of every row, and (id, component) of every document that has a link."""
     n = partitions(docs)
@@ -365,15 +386,18 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     links = cut(twins.unionByName(verified(stars, docs, doc_id, text, words, similarity)).distinct(), "links")
     first = components(links)
     # what the links to each group's least id left apart
-    groups = _rows(found, "groups", "g bigint, id bigint, n bigint")
-    large = _rows(found, "large groups", "g bigint, id bigint, n bigint, band bigint").join(bound, ["id", "band"], "left_semi").select("g", "id", "n")
-    placed = groups.unionByName(large).join(first, "id", "left").select("g", "id", "n", F.coalesce("component", "id").alias("c"))
-    apart = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
-    apart = cut(placed.join(apart, "g", "left_semi").distinct(), "apart")
-    other = apart.withColumnsRenamed({"id": "id2", "c": "c2", "n": "n2"})
+    kind = "g bigint, id bigint, n bigint, band bigint, spare bigint, times bigint"
+    large = _rows(found, "large groups", kind).join(bound, ["id", "band"], "left_semi").select(*(x.split()[0] for x in kind.split(", ")))
+    members = _rows(found, "groups", kind).unionByName(large).groupBy("g", "id", "band").agg(F.max("n").alias("n"), F.min("spare").alias("spare"), F.sum("times").alias("times"))
+    members = members.join(load.select("id", "band", F.col("n").alias("hot")), ["id", "band"], "left").join(first, "id", "left")
+    hot = F.coalesce("hot", F.lit(0))
+    asked = F.when(hot > F.col("spare"), F.col("spare")).otherwise(F.col("spare") - hot) + 1
+    apart = _peeled(cut(members.select("g", "id", "n", "band", "times", asked.alias("asked"), F.coalesce("component", "id").alias("c")), "apart"))
+    other = apart.select("g", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("asked").alias("asked2"))
     t, whole = similarity
     close = (F.least("n", "n2") * whole >= F.greatest("n", "n2") * t) & (F.col("c") < F.col("c2"))
-    pairs = apart.join(other, "g").where(close).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    both = apart.join(other, "g").where(close).groupBy(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), "band")
+    pairs = both.agg(F.sum("times").alias("s"), F.max(F.greatest("asked", "asked2")).alias("asked")).where("s >= asked").select("a", "b").distinct()
     pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
     if pairs.isEmpty():
         return _rows(found, "sizes", "doc_id bigint, n_shingles bigint"), first
