@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesieve.llm import decontamination, jaccard_join, mixing, quality_rules, suffix_dedup, url_filters, warc
+from lakesieve.llm import decontamination, jaccard_join, lm_scoring, mixing, quality_rules, suffix_dedup, url_filters, warc
 from lakesieve.llm._spark import cut
 
 
@@ -57,6 +57,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
@@ -65,4 +69,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_mixing": op8_mixing,
+    "op10_lm_scoring": op10_lm_scoring,
 }
