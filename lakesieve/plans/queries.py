@@ -1,0 +1,174 @@
+"""Named queries over the driver's tables, and the same in DuckDB's SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lakesieve.functions.text import preview
+from lakesieve.operators import quality as q
+from lakesieve.operators import search as s
+from lakesieve.operators.search import SampleFilter
+from lakesieve.sources.samples import from_conversations, from_documents
+
+
+def _docs(spark, d):
+    return from_documents(spark.read.parquet(f"{d}/documents.parquet"))
+
+
+def _with_labels(spark, d):
+    """Labels as results of a check `toxic`."""
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    return labels.select(F.col("doc_id").alias("id"), F.lit("toxic").alias("check_name"), F.when(F.col("toxic") == 1, "fail").otherwise("pass").alias("severity"))
+
+
+def _filtered(**kw):
+    return lambda spark, d: SampleFilter(**kw).apply(_docs(spark, d), _with_labels(spark, d)).select("id", "tokens_est")
+
+
+def _vectors(spark, d):
+    return spark.read.parquet(f"{d}/embeddings.parquet")
+
+
+def _missing(spark, d):
+    return _docs(spark, d).select("id").join(_vectors(spark, d).select(F.col("vec_id").alias("id")), "id", "left_anti")
+
+
+def _coverage(spark, d):
+    held = _docs(spark, d).select("id").join(_vectors(spark, d).select(F.col("vec_id").alias("id"), F.lit(1).alias("v")), "id", "left")
+    return held.agg(F.count("*").alias("total"), F.count("v").alias("embedded"))
+
+
+def _samples(df):
+    return df.select("id", "prompt_chars", "response_chars", "tokens_est", "content_hash", "category", F.md5("prompt").alias("prompt_md5"), F.md5("response").alias("response_md5"), F.md5("context").alias("context_md5"))
+
+
+def _stats(spark, d):
+    st = q.length_stats(_docs(spark, d))
+    return st.select("n", "median_tokens", F.round("center", 6).alias("center"), F.round("scale", 6).alias("scale"), "method")
+
+
+def _status_counts(spark, d):
+    return q.statuses(q.qc(_docs(spark, d))).groupBy("category", "qc_status").agg(F.count("*").alias("n"))
+
+
+def _by_check(spark, d):
+    return q.qc(_docs(spark, d)).groupBy("check_name").agg(F.count_if(F.col("severity") == "warn").alias("warn"), F.count_if(F.col("severity") == "fail").alias("fail"))
+
+
+def _flagged(spark, d):
+    bad = q.qc(_docs(spark, d)).where("severity <> 'pass'")
+    return bad.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("check_name")), ",").alias("flagged"))
+
+
+def _outliers(spark, d):
+    return q.length_outlier(_docs(spark, d)).select("id", F.round("z", 2).alias("z"), "severity")
+
+
+def _copies(spark, d):
+    return q.exact_duplicates(_docs(spark, d)).select("id", F.array_join("duplicate_of", ",").alias("duplicate_of"))
+
+
+QUERIES = {
+    "build_samples_documents": lambda spark, d: _samples(_docs(spark, d)),
+    "build_samples_chat": lambda spark, d: _samples(from_conversations(spark.read.parquet(f"{d}/conversations.parquet"))),
+    "prompt_preview": lambda spark, d: _docs(spark, d).select("id", preview(F.col("prompt")).alias("preview")),
+    "filter_tokens_range": _filtered(min_tokens=100, max_tokens=400),
+    "filter_category_ilike": _filtered(category="SRC_"),
+    "filter_text_contains": _filtered(text_contains="License"),
+    "filter_failed_check_exists": _filtered(failed_check="toxic"),
+    "missing_vectors_anti": _missing,
+    "embedding_coverage": _coverage,
+    "samples_page": lambda spark, d: s.page(_docs(spark, d), 50, 100).select("id", "category", "tokens_est"),
+    "category_counts": lambda spark, d: s.category_counts(_docs(spark, d)),
+    "token_histogram": lambda spark, d: s.token_histogram(_docs(spark, d)),
+    "length_stats": _stats,
+    "check_empty_or_short": lambda spark, d: _docs(spark, d).select("id", q.empty_or_short().alias("severity")),
+    "check_length_outlier": _outliers,
+    "exact_duplicates": _copies,
+    "prompt_conflicts": lambda spark, d: q.prompt_conflicts(_docs(spark, d)),
+    "check_non_english": lambda spark, d: _docs(spark, d).select("id", q.non_english().alias("lang")),
+    "check_refusal_boilerplate": lambda spark, d: from_conversations(spark.read.parquet(f"{d}/conversations.parquet")).select("id", q.refusal().alias("severity")),
+    "qc_status_counts": _status_counts,
+    "qc_by_check_summary": _by_check,
+    "flagged_checks": _flagged,
+    "similar_samples": lambda spark, d: s.similar(_vectors(spark, d), 7, 10),
+    "export_split": lambda spark, d: s.split(_docs(spark, d), 0.1, 42),
+    "export_jsonl": lambda spark, d: s.export_lines(_docs(spark, d)).select("id", F.get_json_object("line", "$.category").alias("category"), F.length(F.get_json_object("line", "$.response")).alias("response_chars")),
+    "export_chat": lambda spark, d: s.export_lines(from_conversations(spark.read.parquet(f"{d}/conversations.parquet")), "chat").select("id", F.md5(F.get_json_object("line", "$.messages[0].content")).alias("asked"), F.md5(F.get_json_object("line", "$.messages[1].content")).alias("replied")),
+}
+
+W = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}\x{0b}]"
+
+
+def _strip(x):
+    return f"regexp_replace({x}, '^{W}+|{W}+$', '', 'g')"
+
+
+def _collapsed(x):
+    return _strip(f"regexp_replace({x}, '{W}+', ' ', 'g')")
+
+
+def _derived(raw):
+    hashed = " || chr(10) || ".join(_collapsed(f"lower(coalesce({c}, ''))") for c in ("prompt", "context", "response"))
+    return f"""raw as ({raw}),
+clean as (select id, {_strip("replace(coalesce(prompt, ''), chr(0), '')")} as prompt, nullif({_strip("replace(coalesce(context, ''), chr(0), '')")}, '') as context,
+  {_strip("replace(coalesce(response, ''), chr(0), '')")} as response, nullif(substr({_strip("coalesce(category, '')")}, 1, 100), '') as category from raw),
+samples as (select *, cast(length(prompt) as int) as prompt_chars, cast(length(response) as int) as response_chars,
+  cast(ceil((length(prompt) + coalesce(length(context), 0) + length(response)) / 4.0) as int) as tokens_est, sha1({hashed}) as content_hash from clean)"""
+
+
+DOCS = _derived("""select doc_id as id, case when strpos(text, chr(10)) > 0 then substr(text, 1, strpos(text, chr(10)) - 1) else text end as prompt, cast(null as varchar) as context,
+  case when strpos(text, chr(10)) > 0 then substr(text, strpos(text, chr(10)) + 1) else '' end as response, source as category from documents""")
+CHATS = "turns as (select conv_id, turn, lower(role) as role, text from conversations), u as (select conv_id, min(turn) as at from turns where role in ('user', 'human', 'prompter') group by 1), " + _derived("""
+  select c.conv_id as id, p.text as prompt, (select arg_min(text, turn) from turns t where t.conv_id = c.conv_id and t.role = 'system' and t.turn < coalesce(u.at, 1000000)) as context,
+  (select arg_min(text, turn) from turns t where t.conv_id = c.conv_id and t.role in ('assistant', 'gpt', 'model', 'bot', 'chatgpt') and t.turn > u.at) as response, cast(null as varchar) as category
+  from (select distinct conv_id from turns) c left join u on u.conv_id = c.conv_id left join turns p on p.conv_id = c.conv_id and p.turn = u.at""")
+SAMPLES = "select id, prompt_chars, response_chars, tokens_est, content_hash, category, md5(prompt) as prompt_md5, md5(response) as response_md5, md5(context) as context_md5 from samples"
+N_WORDS = f"len(list_filter(regexp_split_to_array(response, '{W}+'), lambda x: x <> ''))"
+SHORT = f"case when prompt = '' or response = '' then 'fail' when {N_WORDS} < 3 or length(response) < 15 then 'warn' else 'pass' end"
+STATS = """x as (select ln(1 + tokens_est) as x, tokens_est from samples), base as (select count(*) as n, median(tokens_est) as median_tokens, median(x) as center, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) as iqr from x),
+sp as (select median(abs(x - center)) as mad, avg(abs(x - center)) as dev from x, base),
+st as (select n, median_tokens, center, case when mad > 0 then mad * 1.4826 when iqr > 0 then iqr / 1.349 when dev > 0 then dev * 1.2533 else 0 end as scale,
+  case when mad > 0 then 'mad' when iqr > 0 then 'iqr' when dev > 0 then 'meanabs' else 'constant' end as method from base, sp)"""
+Z = "(ln(1 + greatest(tokens_est, 0)) - center) / scale"
+LENGTH = f"case when n < 20 or scale = 0 then 'pass' when abs({Z}) > 4.5 then 'fail' when abs({Z}) > 3.0 then 'warn' else 'pass' end"
+KEYS = f"k as (select id, content_hash, {_collapsed('lower(prompt)')} || chr(31) || {_collapsed("lower(coalesce(context, ''))")} as key from samples), g as (select key, count(distinct content_hash) as n_contents, count(*) as n_samples, min(id) as first_id from k where key <> chr(31) group by key having count(distinct content_hash) > 1)"
+
+
+def _sql(tail, *ctes, base=DOCS):
+    return f"with {', '.join((base, *ctes))} {tail}"
+
+
+ORACLES = {
+    "build_samples_documents": _sql(SAMPLES),
+    "build_samples_chat": _sql(SAMPLES, base=CHATS),
+    "prompt_preview": _sql(f"select id, case when length(p) > 160 then substr(p, 1, 159) || '…' else p end as preview from (select id, {_collapsed('prompt')} as p from samples)"),
+    "filter_tokens_range": _sql("select id, tokens_est from samples where tokens_est between 100 and 400"),
+    "filter_category_ilike": _sql("select id, tokens_est from samples where category ilike 'SRC_'"),
+    "filter_text_contains": _sql("select id, tokens_est from samples where prompt ilike '%License%' or response ilike '%License%'"),
+    "filter_failed_check_exists": _sql("select id, tokens_est from samples where exists (select 1 from labels where doc_id = id and toxic = 1)"),
+    "missing_vectors_anti": _sql("select id from samples where not exists (select 1 from embeddings where vec_id = id)"),
+    "embedding_coverage": _sql("select count(*) as total, count(vec_id) as embedded from samples left join embeddings on vec_id = id"),
+    "samples_page": _sql("select id, category, tokens_est from samples order by id limit 50 offset 100"),
+    "category_counts": _sql("select coalesce(category, 'uncategorised') as name, count(*) as n from samples group by 1 order by n desc, name limit 30"),
+    "token_histogram": _sql(
+        """select cast(lo + b * width as bigint) as start, cast(case when b = n - 1 and hi <= lo then top when b = n - 1 then greatest(lo + (b + 1) * width, top) else lo + (b + 1) * width end as bigint) as "end",
+  (select count(*) from samples where least((tokens_est - lo) // width, n - 1) = b) as count from (select *, unnest(range(n)) as b from e2)""",
+        "e0 as (select min(tokens_est) as lo, quantile_disc(tokens_est, 0.99) as hi, max(tokens_est) as top from samples)",
+        "e1 as (select *, cast(greatest(1, ceil((hi - lo) / 12.0)) as bigint) as width from e0)",
+        "e2 as (select *, cast(greatest(1, least(12, ceil((hi - lo) / cast(width as double)))) as bigint) as n from e1)",
+    ),
+    "length_stats": _sql("select n, median_tokens, round(center, 6) as center, round(scale, 6) as scale, method from st", STATS),
+    "check_empty_or_short": _sql(f"select id, {SHORT} as severity from samples"),
+    "check_length_outlier": _sql(f"select id, case when n >= 20 and scale > 0 then round({Z}, 2) end as z, {LENGTH} as severity from samples, st", STATS),
+    "exact_duplicates": _sql(
+        "select id, array_to_string(list_slice(before, 1, 10), ',') as duplicate_of from b where before is not null",
+        "b as (select id, list(id) over (partition by content_hash order by id rows between unbounded preceding and 1 preceding) as before from samples)",
+    ),
+    "prompt_conflicts": _sql("select id, n_contents, n_samples, first_id from k join g using (key)", KEYS),
+    "similar_samples": """select e.vec_id, round(list_cosine_similarity(cast(e.embedding as double[]), cast(o.embedding as double[])), 4) as similarity from embeddings e, embeddings o where o.vec_id = 7 and e.vec_id <> 7
+order by list_cosine_similarity(cast(e.embedding as double[]), cast(o.embedding as double[])) desc, e.vec_id limit 10""",
+    "export_split": _sql("select id, case when row_number() over (order by md5('42:' || id), id) <= (select greatest(1, floor(count(*) * 0.1 + 0.5)) from samples) then 'val' else 'train' end as split from samples"),
+    "export_jsonl": _sql("select id, category, response_chars from samples"),
+    "export_chat": _sql("select id, md5(prompt || coalesce(chr(10) || chr(10) || context, '')) as asked, md5(response) as replied from samples", base=CHATS),
+}

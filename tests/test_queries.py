@@ -1,0 +1,80 @@
+"""Every query with SQL beside it against DuckDB, and rules on planted samples."""
+
+import os
+import sys
+
+import duckdb
+import pytest
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from lakesieve.functions.text import like_pattern  # noqa: E402
+from lakesieve.operators import quality, search  # noqa: E402
+from lakesieve.plans.queries import ORACLES, QUERIES  # noqa: E402
+from lakesieve.sources.samples import from_conversations, read, with_derived  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def spark():
+    conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g"}
+    s = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
+    s.sparkContext.setLogLevel("ERROR")
+    return s
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in ("documents", "conversations", "embeddings", "labels"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, duck, name):
+    df = QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+    assert got
+    if name in ORACLES:
+        found = duck.execute(ORACLES[name])
+        names = [x[0] for x in found.description]
+        assert got == sorted((tuple(r[names.index(c)] for c in columns) for r in found.fetchall()), key=str)
+
+
+def samples(spark, rows):
+    return with_derived(spark.createDataFrame([(i, 1, p, None, r, "c") for i, (p, r) in enumerate(rows)], "id bigint, dataset_id bigint, prompt string, context string, response string, category string"))
+
+
+def test_checks(spark):
+    rows = [("q", ""), ("q", "yes it is"), ("q", "a reply of enough words"), ("Q ", "a  reply of enough words"), ("x", "I'm sorry, but I can't help with that request."), ("é", " ".join(["el gato de la casa es una"] * 4))]
+    df = samples(spark, rows)
+    assert [r.s for r in df.orderBy("id").select(quality.empty_or_short().alias("s")).collect()] == ["fail", "warn", "pass", "pass", "pass", "pass"]
+    assert [(r.id, r.duplicate_of) for r in quality.exact_duplicates(df).collect()] == [(3, [2])]
+    assert sorted(r.id for r in quality.prompt_conflicts(df).collect()) == [0, 1, 2, 3]
+    assert [r.s for r in df.orderBy("id").select(quality.refusal().alias("s")).collect()][4] == "fail"
+    assert [r.s for r in df.orderBy("id").select(quality.non_english().alias("s")).collect()] == ["en"] * 5 + ["other"]
+    assert {r.id: r.qc_status for r in quality.statuses(quality.qc(df)).collect()}[3] == "fail"
+
+
+def test_scale_falls_back(spark):
+    for tokens, method in (([5] * 8 + [1, 9, 12], "meanabs"), ([5, 5, 5], "constant"), ([1, 2, 3, 9], "mad")):
+        df = spark.createDataFrame([(t,) for t in tokens], "tokens_est int")
+        assert quality.length_stats(df).first().method == method
+
+
+def test_counts_patterns_and_chat(spark, tmp_path):
+    assert [search.val_count(*x) for x in ((0, 0.1), (1, 0.5), (2, 0.01), (10, 0.25), (10, 0), (3, 0.99))] == [0, 0, 1, 3, 0, 2]
+    assert like_pattern(r"a\b\%_") == r"ab\%_"
+    turns = [(1, 0, "system", "be kind"), (1, 1, "User", "hi"), (1, 2, "assistant", "hello"), (2, 0, "assistant", "early"), (2, 1, "user", "q"), (3, 0, "assistant", "only")]
+    chats = from_conversations(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"))
+    assert [(r.prompt, r.context, r.response) for r in chats.orderBy("id").collect()] == [("hi", "be kind", "hello"), ("q", None, ""), ("", None, "")]
+    (tmp_path / "a.json").write_text('{"data": [{"p": 1}, {"p": 2}]}')
+    (tmp_path / "b.jsonl").write_text('{"p": 1}\n{"p": 2}\n{"p": 3}\n')
+    assert read(spark, str(tmp_path / "a.json")).count() == 2 and read(spark, str(tmp_path / "b.jsonl")).count() == 3
+    assert search.export_lines(chats.where(F.col("id") == 1), "chat").first().line == '{"messages":[{"role":"user","content":"hi\\n\\nbe kind"},{"role":"assistant","content":"hello"}]}'
+    with pytest.raises(ValueError):
+        search.export_lines(chats, "xml")
