@@ -38,7 +38,7 @@ def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
-    assert got
+    assert got or name == "missing_vectors_anti"  # fewer documents than vectors here
     if name in ORACLES:
         found = duck.execute(ORACLES[name])
         names = [x[0] for x in found.description]
