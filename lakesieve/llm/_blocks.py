@@ -43,10 +43,10 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def blocks_of(df: DataFrame, doc_id: str, text: str, rest: list[str] | None = None) -> DataFrame:
-    """`df` in blocks of about CHUNK_BYTES of text; `rest` (default: every other column) goes along."""
+def blocks_of(df: DataFrame, doc_id: str, text: str, rest: list[str] | None = None, size: int | None = None) -> DataFrame:
+    """`df` in blocks of about `size` (CHUNK_BYTES at most) bytes of text; `rest` (default: every other column) goes along."""
     rest = [c for c in df.columns if c not in (doc_id, text)] if rest is None else rest
-    size = _bytes.CHUNK_BYTES
+    size = min(size or _bytes.CHUNK_BYTES, _bytes.CHUNK_BYTES)
     chosen = df.select(F.col(f"`{doc_id}`").cast("bigint"), F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in rest])
 
     def run(batches):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesieve.llm import decontamination, jaccard_join, lm_scoring, mixing, quality_rules, suffix_dedup, url_filters, warc
+from lakesieve.llm import decontamination, jaccard_join, license_scan, lm_scoring, mixing, quality_rules, suffix_dedup, token_counts, url_filters, warc
 from lakesieve.llm._spark import cut
 
 
@@ -57,6 +57,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is the file <source>/<lang>/<doc_id>."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+    return license_scan.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts before and after mail addresses and dotted quads are replaced."""
+    return token_counts.count_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -64,10 +76,12 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
+    "op3_license_scan": op3_license_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
     "op6_decontamination": op6_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_mixing": op8_mixing,
+    "op9_token_counts": op9_token_counts,
     "op10_lm_scoring": op10_lm_scoring,
 }
