@@ -47,6 +47,14 @@ def partitions(df: DataFrame) -> int:
     return max(said, math.ceil(size / PARTITION_BYTES) if size < 1 << 60 else 0, 1)
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Keeps what Spark hands to Python at once below `most` bytes, where rows are blocks of documents; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(str(spark.conf.get(key)).rstrip("bB"))
+    if now <= 0 or now > most:
+        spark.conf.set(key, str(most))
+
+
 def free_name(taken, base: str) -> str:
     """`base`, with underscores in front until no column has that name (in any case)."""
     low = {c.lower() for c in taken}
