@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesieve.llm._rows import with_measures
+from lakesieve.llm._spark import cut
 
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -87,7 +88,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: di
     found = with_measures(files, text, {"header": "string", "similarity": "double", "licence_file": "boolean"}, measure, keep)
     parts = F.split(F.coalesce(F.col(f"`{path}`"), F.lit("")), "/")
     folder = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    found = found.withColumn("_folder", F.array_join(folder, "/"))
+    found = cut(found.withColumn("_folder", F.array_join(folder, "/")), "licences")  # read five times below
     own = found.where("licence_file").groupBy("_folder").agg(F.min("header").alias("_given"))
     above = found.select("_folder").distinct().withColumn("_parts", F.split("_folder", "/"))
     above = above.select("_folder", F.explode(F.transform(F.sequence(F.lit(0), F.size("_parts")), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(F.col("_parts"), 1, n), "/").alias("at")))).alias("a"))
