@@ -32,6 +32,11 @@ def words(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0))
 
 
+def bound(x: Column, f) -> Column:
+    """f(x) with x evaluated once, where f uses it inside of lambdas."""
+    return F.transform(F.array(x), f)[0]
+
+
 def preview(x: Column, most: int = 160) -> Column:
     y = collapsed(x)
     return F.when(F.length(y) > most, F.concat(F.substring(y, 1, most - 1), F.lit("…"))).otherwise(y)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesieve.functions.text import SPACE, collapsed, split_words, words
+from lakesieve.functions.text import SPACE, bound, collapsed, split_words, strip, words
+from lakesieve.operators.near import near_severity
+from lakesieve.operators.pii import pii_severity, pii_spans
 
 MIN_WORDS, MIN_CHARS = 3, 15
 MIN_SAMPLES, WARN_Z, FAIL_Z = 20, 3.0, 4.5
@@ -33,6 +35,9 @@ REFUSALS = [
     r"my knowledge cutoff",
     r"(?:trained|developed|created) by openai",
 ]
+DANGLING = """the a an and or but nor of to in on at for with by from as that which who whose is are was were be been their
+his her its our your my this these those into than because although while if when where whether such""".split()
+REPEATED, ECHO_WORDS, ECHO_CONTAINED, ECHO_COVERED, TRUNCATED_WORDS = 20, 8, 0.9, 0.95, 50
 CODE_SYMBOLS = "{}()[];=<>#$_\\|&*/+`"
 
 
@@ -120,14 +125,55 @@ def refusal() -> Column:
     return severity(hit & (F.size(split_words(reply)) <= REFUSAL_WORDS), hit | (reply.rlike(near) & ~asked))
 
 
+def balanced(code: Column) -> Column:
+    """Whether brackets outside of strings and comments match; `!` is what no bracket closes."""
+    code = F.regexp_replace(code, r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', "")
+    code = F.regexp_replace(F.regexp_replace(code, r"(?:#|//)[^\n]*", ""), r"[^()\[\]{}]", "")
+
+    def step(held, c):
+        closes = c.isin(")", "]", "}") & (F.substring(held, -1, 1) == F.translate(c, ")]}", "([{"))
+        return F.when(closes, F.substring(held, F.lit(1), F.length(held) - 1)).when(c.isin(")", "]", "}"), F.concat(held, F.lit("!"))).otherwise(F.concat(held, c))
+
+    return F.aggregate(F.split(code, ""), F.lit(""), step) == ""
+
+
+def formatting_issues() -> Column:
+    """Names of what is wrong with a response's form, in a fixed order."""
+    reply, w = F.col("response"), words(F.col("response"))
+    many = lambda v: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(v) - 2), lambda i: F.array_join(F.slice(v, i, 3), " ")))
+    trigrams = lambda x: bound(x, lambda v: F.when(F.size(v) > 2, many(v)).otherwise(F.array().cast("array<string>")))
+    mine, asked = trigrams(w), trigrams(words(F.col("prompt")))
+    common = F.size(F.array_intersect(mine, asked))
+    echo = (F.size(w) >= ECHO_WORDS) & (F.size(asked) > 0) & (common >= ECHO_CONTAINED * F.size(mine)) & (common >= ECHO_COVERED * F.size(asked))
+    blocks = F.regexp_extract_all(reply, F.lit(r"(?s)```[^\n]*\n(.*?)```"), F.lit(1))
+    ended = F.regexp_replace(reply, f"{SPACE}+$", "")
+    line = strip(F.element_at(F.split(ended, r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), -1))
+    opened = lambda x, y: F.length(F.translate(line, x, "")) < F.length(F.translate(line, y, ""))
+    dangling = F.try_element_at(w, F.lit(-1)).isin(*DANGLING) | opened("[", "]") | opened("(", ")")
+    truncated = (F.size(w) >= TRUNCATED_WORDS) & ~F.contains(reply, F.lit("```")) & ended.rlike(r"[\p{L}\p{N}]\z") & ~line.rlike(r"(?U)^(?:[-*•]|\d+[.)])\s") & dangling
+    tests = {
+        "unbalanced_code_fence": F.regexp_count(reply, F.lit("```")) % 2 == 1,
+        "unbalanced_brackets": F.exists(blocks, lambda b: ~balanced(b)),
+        "repeated_characters": reply.rlike(rf"(?U)(\S)\1{{{REPEATED - 1},}}"),
+        "prompt_echo": echo,
+        "truncated": truncated,
+    }
+    return F.array_compact(F.array(*(F.when(test, name) for name, test in tests.items())))
+
+
+def formatting() -> Column:
+    n = F.size(formatting_issues())
+    return severity(n > 1, n == 1)
+
+
 def qc(samples: DataFrame) -> DataFrame:
-    """(id, category, tokens_est, lang, check_name, severity) of each sample and check that needs no pairs of texts."""
+    """(id, category, tokens_est, lang, check_name, severity) of each sample and each of the eight checks."""
     copies = exact_duplicates(samples).select("id", F.lit(True).alias("copied"))
     same = prompt_conflicts(samples).select("id", F.lit(True).alias("conflict"))
-    held = length_outlier(samples).join(copies, "id", "left").join(same, "id", "left").withColumn("lang", non_english())
+    held = length_outlier(samples).join(copies, "id", "left").join(same, "id", "left").join(near_severity(samples), "id", "left").withColumn("lang", non_english()).withColumn("pii", pii_severity(pii_spans()))
     exact = severity(F.coalesce("copied", F.lit(False)), F.coalesce("conflict", F.lit(False)))
     foreign = F.when(F.col("lang") == "other", "warn").otherwise("pass")
-    checks = {"empty_or_short": empty_or_short(), "length_outlier": F.col("severity"), "exact_duplicate": exact, "non_english": foreign, "refusal_boilerplate": refusal()}
+    checks = {"empty_or_short": empty_or_short(), "length_outlier": F.col("severity"), "exact_duplicate": exact, "near_duplicate": F.coalesce("near", F.lit("pass")), "pii": F.col("pii"), "non_english": foreign, "refusal_boilerplate": refusal(), "formatting": formatting()}
     return held.select("id", "category", "tokens_est", "lang", F.inline(F.array(*(F.struct(F.lit(k).alias("check_name"), v.alias("severity")) for k, v in checks.items()))))
 
 

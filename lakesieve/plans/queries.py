@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakesieve.functions.text import preview
+from lakesieve.operators import near, pii
 from lakesieve.operators import quality as q
 from lakesieve.operators import search as s
 from lakesieve.operators.search import SampleFilter
@@ -68,6 +69,16 @@ def _copies(spark, d):
     return q.exact_duplicates(_docs(spark, d)).select("id", F.array_join("duplicate_of", ",").alias("duplicate_of"))
 
 
+def _pii(spark, d):
+    held = _docs(spark, d).select("id", pii.pii_spans().alias("spans"))
+    return held.select("id", F.size("spans").alias("n_spans"), F.array_join(F.array_sort(F.transform("spans", lambda s: s["kind"])), ",").alias("kinds"), pii.pii_severity(F.col("spans")).alias("severity"))
+
+
+def _near(spark, d):
+    docs = _docs(spark, d)
+    return docs.select("id").join(near.near_severity(docs), "id", "left").select("id", F.coalesce("near", F.lit("pass")).alias("severity"))
+
+
 QUERIES = {
     "build_samples_documents": lambda spark, d: _samples(_docs(spark, d)),
     "build_samples_chat": lambda spark, d: _samples(from_conversations(spark.read.parquet(f"{d}/conversations.parquet"))),
@@ -88,6 +99,10 @@ QUERIES = {
     "prompt_conflicts": lambda spark, d: q.prompt_conflicts(_docs(spark, d)),
     "check_non_english": lambda spark, d: _docs(spark, d).select("id", q.non_english().alias("lang")),
     "check_refusal_boilerplate": lambda spark, d: from_conversations(spark.read.parquet(f"{d}/conversations.parquet")).select("id", q.refusal().alias("severity")),
+    "check_pii": _pii,
+    "near_duplicate_pairs": lambda spark, d: near.near_pairs(_docs(spark, d)),
+    "check_near_duplicate": _near,
+    "check_formatting": lambda spark, d: _docs(spark, d).select("id", F.array_join(q.formatting_issues(), ",").alias("issues")),
     "qc_status_counts": _status_counts,
     "qc_by_check_summary": _by_check,
     "flagged_checks": _flagged,
@@ -134,6 +149,13 @@ Z = "(ln(1 + greatest(tokens_est, 0)) - center) / scale"
 LENGTH = f"case when n < 20 or scale = 0 then 'pass' when abs({Z}) > 4.5 then 'fail' when abs({Z}) > 3.0 then 'warn' else 'pass' end"
 KEYS = f"k as (select id, content_hash, {_collapsed('lower(prompt)')} || chr(31) || {_collapsed("lower(coalesce(context, ''))")} as key from samples), g as (select key, count(distinct content_hash) as n_contents, count(*) as n_samples, min(id) as first_id from k where key <> chr(31) group by key having count(distinct content_hash) > 1)"
 
+TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
+NEAR = f"""ws as (select id, {TERMS.format("prompt || chr(10) || response")} as w, list_distinct({TERMS.format("response")}) as r from samples where id in (select min(id) from samples group by content_hash)),
+sh as (select id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as s from ws),
+m as (select id, count(*) as m from sh group by id), p as (select x.id as a, y.id as b, count(*) as i from sh x join sh y on x.s = y.s and x.id < y.id group by all),
+near as (select a, b, round(i / (x.m + y.m - i), 4) as jaccard from p join m x on x.id = a join m y on y.id = b join ws v on v.id = a join ws w on w.id = b
+  where i * 100 >= 85 * (x.m + y.m - i) and len(list_intersect(v.r, w.r)) >= 0.5 * len(list_distinct(list_concat(v.r, w.r))))"""
+
 
 def _sql(tail, *ctes, base=DOCS):
     return f"with {', '.join((base, *ctes))} {tail}"
@@ -166,6 +188,8 @@ ORACLES = {
         "b as (select id, list(id) over (partition by content_hash order by id rows between unbounded preceding and 1 preceding) as before from samples)",
     ),
     "prompt_conflicts": _sql("select id, n_contents, n_samples, first_id from k join g using (key)", KEYS),
+    "near_duplicate_pairs": _sql("select a, b, jaccard from near", NEAR),
+    "check_near_duplicate": _sql("select id, case when max(jaccard) >= 0.95 then 'fail' when max(jaccard) is not null then 'warn' else 'pass' end as severity from samples left join near on b = id group by id", NEAR),
     "similar_samples": """select e.vec_id, round(list_cosine_similarity(cast(e.embedding as double[]), cast(o.embedding as double[])), 4) as similarity from embeddings e, embeddings o where o.vec_id = 7 and e.vec_id <> 7
 order by list_cosine_similarity(cast(e.embedding as double[]), cast(o.embedding as double[])) desc, e.vec_id limit 10""",
     "export_split": _sql("select id, case when row_number() over (order by md5('42:' || id), id) <= (select greatest(1, floor(count(*) * 0.1 + 0.5)) from samples) then 'val' else 'train' end as split from samples"),
