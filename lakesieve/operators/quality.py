@@ -139,12 +139,17 @@ def balanced(code: Column) -> Column:
 
 def formatting_issues() -> Column:
     """Names of what is wrong with a response's form, in a fixed order."""
-    reply, w = F.col("response"), words(F.col("response"))
+    return bound(words(F.col("response")), _issues)
+
+
+def _issues(w: Column) -> Column:
+    reply = F.col("response")
     many = lambda v: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(v) - 2), lambda i: F.array_join(F.slice(v, i, 3), " ")))
     trigrams = lambda x: bound(x, lambda v: F.when(F.size(v) > 2, many(v)).otherwise(F.array().cast("array<string>")))
-    mine, asked = trigrams(w), trigrams(words(F.col("prompt")))
-    common = F.size(F.array_intersect(mine, asked))
-    echo = (F.size(w) >= ECHO_WORDS) & (F.size(asked) > 0) & (common >= ECHO_CONTAINED * F.size(mine)) & (common >= ECHO_COVERED * F.size(asked))
+    sizes = lambda t: F.struct(F.size(t["m"]).alias("m"), F.size(t["a"]).alias("a"), F.size(F.array_intersect(t["m"], t["a"])).alias("c"))
+    alike = lambda n: (n["a"] > 0) & (n["c"] >= ECHO_CONTAINED * n["m"]) & (n["c"] >= ECHO_COVERED * n["a"])
+    sets = F.struct(trigrams(w).alias("m"), trigrams(words(F.col("prompt"))).alias("a"))
+    echo = (F.size(w) >= ECHO_WORDS) & bound(sets, lambda t: bound(sizes(t), alike))
     blocks = F.regexp_extract_all(reply, F.lit(r"(?s)```[^\n]*\n(.*?)```"), F.lit(1))
     ended = F.regexp_replace(reply, f"{SPACE}+$", "")
     line = strip(F.element_at(F.split(ended, r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), -1))
@@ -162,8 +167,7 @@ def formatting_issues() -> Column:
 
 
 def formatting() -> Column:
-    n = F.size(formatting_issues())
-    return severity(n > 1, n == 1)
+    return bound(F.size(formatting_issues()), lambda n: severity(n > 1, n == 1))
 
 
 def qc(samples: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from lakesieve.functions.text import clean, collapsed
 def with_derived(df: DataFrame) -> DataFrame:
     """Rows (id, dataset_id, prompt, context, response, category) with all that is derived from their texts."""
     prompt, response, context = clean(F.col("prompt")), clean(F.col("response")), clean(F.col("context"))
-    df = df.select("id", "dataset_id", prompt.alias("prompt"), F.nullif(context, F.lit("")).alias("context"), response.alias("response"), F.nullif(F.substring(clean(F.col("category")), 1, 100), F.lit("")).alias("category"))
+    texts = F.struct(prompt.alias("prompt"), F.nullif(context, F.lit("")).alias("context"), response.alias("response"), F.nullif(F.substring(clean(F.col("category")), 1, 100), F.lit("")).alias("category"))
+    df = df.select("id", "dataset_id", F.inline(F.array(texts)))  # a generator keeps its result: texts are cleaned once, not for each use
     key = F.concat_ws("\n", *(collapsed(F.lower(F.coalesce(F.col(c), F.lit("")))) for c in ("prompt", "context", "response")))
     chars = F.length("prompt") + F.coalesce(F.length("context"), F.lit(0)) + F.length("response")
     return df.select("*", F.length("prompt").alias("prompt_chars"), F.length("response").alias("response_chars"), F.ceil(chars / 4).cast("int").alias("tokens_est"), F.sha1(key).alias("content_hash"), F.lit("pending").alias("qc_status"))
