@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesieve.llm._bytes import U64, WHITE, Texts, mix, prefix_hash, span_hash, windows, word_hashes
+from lakesieve.llm._bytes import U64, WHITE, Texts, mix, span_digests, windows, word_hashes
 from lakesieve.llm._rows import with_measures
 from lakesieve.llm._spark import free_name
 
@@ -46,7 +46,6 @@ def measure(texts: Texts) -> dict[str, np.ndarray]:
     n = len(texts)
     starts, ends, first = texts.words()
     docs = np.repeat(np.arange(n), np.diff(first))
-    prefix = prefix_hash(texts.data)
     ink = ~WHITE[texts.data]
     point = ((texts.data & 0xC0) != 0x80) & ink
     out = {"n_words": np.diff(first).astype(np.int64), "word_chars": texts.sums(point), "n_symbols": texts.sums(SYMBOLS[texts.data])}
@@ -72,7 +71,7 @@ def measure(texts: Texts) -> dict[str, np.ndarray]:
     full = inked[end] > inked[begin]
     begin, end, owner = begin[full], end[full], owner[full]
     end = end - (texts.data[end - 1] == 10)
-    lines = mix(span_hash(prefix, begin, end) + (end - begin).astype(U64)) ^ mix(owner.astype(U64) + U64(1))
+    lines = span_digests(texts.data, begin, end) ^ mix(owner.astype(U64) + U64(1))
     _, index = np.unique(lines, return_index=True)
     out["n_lines"] = np.bincount(owner, minlength=n).astype(np.int64)
     out["n_dup_lines"] = out["n_lines"] - np.bincount(owner[index], minlength=n)

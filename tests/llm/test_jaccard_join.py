@@ -5,7 +5,7 @@ import pytest
 from brute import components, shingles
 
 import __spark_entry__
-from lakesieve.llm import _bytes, jaccard_join
+from lakesieve.llm import _bytes, jaccard_join, quality_rules
 from lakesieve.llm.components import components as spark_components
 
 Q = __spark_entry__.queries()
@@ -34,12 +34,13 @@ def planted(seed):
     return docs
 
 
-@pytest.mark.parametrize("hot", [64, 3])
-def test_against_brute_force(spark, sf, tables, monkeypatch, hot):
+@pytest.mark.parametrize("hot, tokens", [(64, 1 << 20), (3, 1 << 20), (3, 0)])
+def test_against_brute_force(spark, sf, tables, monkeypatch, hot, tokens):
     monkeypatch.setattr(_bytes, "CHUNK_BYTES", 4000)
     monkeypatch.setattr(jaccard_join, "HOT", hot)
     monkeypatch.setattr(jaccard_join, "SALT_LINKS", 7)
-    monkeypatch.setattr(jaccard_join, "SHORT_SET", 100)
+    monkeypatch.setattr(jaccard_join, "CLUSTER_TOKENS", tokens)
+    monkeypatch.setattr(jaccard_join, "STEP_PAIRS", 50)
     docs = planted(hot)
     folder = tables(documents=docs)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in Q["op7_jaccard_join"](spark, folder).collect()} == components(docs)
@@ -66,6 +67,61 @@ def test_similar_sets_always_share_an_entry():
         assert set(entry[owner == 0]) & set(entry[owner == 1]), (trial, n)
 
 
+def test_sets_that_leave_hot_groups_still_meet():
+    rnd = random.Random(3)
+    for trial in range(1500):
+        n = rnd.choice([3, 5, 6, 9, 12, 18, 27, 36, 60, 150])
+        a = {rnd.getrandbits(64) for _ in range(n)}
+        b = set(a)
+        while True:
+            c = set(b)
+            c.discard(rnd.choice(sorted(c))) if rnd.random() < 0.5 else c.add(rnd.getrandbits(64))
+            if not c or 100 * len(a & c) < 80 * len(a | c):
+                break
+            b = c
+        tokens = np.concatenate([np.sort(np.array(sorted(x), np.uint64)) for x in (a, b)])
+        entry, row, sets, band, free = jaccard_join.index(tokens, np.array([len(a), len(b)]))
+        hot = {e for e in set(entry.tolist()) if rnd.random() < rnd.choice([0.1, 0.5])}
+        met = False
+        for x in range(len(sets)):
+            for y in range(len(sets)):
+                if sets[x] == 0 and sets[y] == 1 and band[x] == band[y]:
+                    mine, other = set(entry[row == x].tolist()), set(entry[row == y].tolist())
+                    stay = [sum(e & 1 for e in own & hot) >= free[z] for own, z in ((mine, x), (other, y))]
+                    met |= any(e not in hot or all(stay) for e in mine & other)
+        assert met, (trial, n)
+
+
+def test_texts_that_make_polynomials_collide():
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, " ".join(word), " ".join(other)]
+    raw = "".join(texts).encode()
+    sets, sizes = jaccard_join.shingle_sets(_bytes.Texts(np.frombuffer(raw, np.uint8), np.cumsum([0, *map(len, texts)])))
+    assert sets[0] != sets[1] and sizes.tolist() == [len(shingles(t)) for t in texts]
+    one = quality_rules.measure(_bytes.Texts(np.frombuffer(f"{word}\n{other}".encode(), np.uint8), np.array([0, 2 * len(word) + 1])))
+    assert one["n_dup_lines"][0] == 0
+
+
+def test_families_of_copies_apart_from_each_other(spark, tables, monkeypatch):
+    rnd = random.Random(5)
+    monkeypatch.setattr(_bytes, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(jaccard_join, "STEP_PAIRS", 300)
+    base, docs = [f"w{rnd.randint(0, 5000)}" for _ in range(150)], []
+    for i in range(400):
+        words = list(base)
+        for _ in range(rnd.randint(0, 8)):
+            words[rnd.randrange(len(words))] = f"w{rnd.randint(0, 400)}"
+        docs.append((i, " ".join(words)))
+    want = components(docs)
+    for tokens in (1 << 20, 1000):
+        monkeypatch.setattr(jaccard_join, "CLUSTER_TOKENS", tokens)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in Q["op7_jaccard_join"](spark, tables(documents=docs)).collect()}
+        assert got == want
+
+
 def test_entries_stay_few():
     rnd = np.random.default_rng(1)
     sizes = rnd.integers(20, 900, 300)
