@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,12 +48,18 @@ def partitions(df: DataFrame) -> int:
     return max(said, math.ceil(size / PARTITION_BYTES) if size < 1 << 60 else 0, 1)
 
 
-def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Keeps what Spark hands to Python at once below `most` bytes, where rows are blocks of documents; a lower setting stays."""
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 8 << 20):
+    """Meanwhile, keeps what Spark hands to Python at once below `most` bytes, where rows are blocks of documents; a lower setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(str(spark.conf.get(key)).rstrip("bB"))
-    if now <= 0 or now > most:
-        spark.conf.set(key, str(most))
+    old = spark.conf.get(key)
+    now = int(str(old).rstrip("bB"))
+    try:
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+        yield
+    finally:
+        spark.conf.set(key, old)
 
 
 def free_name(taken, base: str) -> str:

@@ -1,26 +1,29 @@
 """Code length of texts under context-tree weighting over bytes, beside a smoothed unigram base.
 
 A text is its words, A-Z in lower case, with one space between them and an end symbol. Each byte is eight binary
-decisions; a decision's context is the byte's bits so far and up to DEPTH bytes before it. Every context of the training
+decisions; a decision's context is the byte's bits so far and 0 to DEPTH bytes before it. Every context of the training
 documents has a Krichevsky-Trofimov estimate; bottom up over the tree, a node's weighted probability is half its own
 block probability and half the product of its children's, and the share of the first is the weight of its estimate
-against what deeper contexts say. A path ends at the deepest context that training has seen; contexts of fewer than two
-bytes only serve where none of two bytes was seen, since over whole corpora their weight is nil.
+against what deeper contexts say. All depths are mixed so; a path ends at the deepest context that training has seen.
 
 The tree is never in one place: blocks send each distinct (context, byte) with its training count to the task that
-has the context's two nearest bytes, where that subtree is whole; the task answers each block with the probabilities it
-asked for. Word counts for the base go the same way by word hash. Counts cover all training documents.
+has the context's two nearest bytes, where that subtree is whole. A first pass over these messages sums what the subtrees
+give to the contexts of one byte and of none, 256 x 255 numbers; in a second one the tasks answer each block with the
+probabilities it asked for. Word counts for the base go the same way by word hash. Counts cover all training documents.
 
 Null and empty texts are an end symbol only. A row without id trains as one whose id is the empty text. Rows of equal id
-and repeated rows count each; an empty table gives no rows; without training documents all estimates are the prior's.
+and repeated rows count each; a very long text is a block by itself; only the two columns named are read, so no other
+column's name can clash; an empty table gives no rows; without training documents all estimates are the prior's.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +32,18 @@ from lakesieve.llm._bytes import U64, Texts, cuts, mix, word_hashes
 from lakesieve.llm._spark import cut, partitions, small_batches
 
 DEPTH = 5
-#: The shallowest context that the tasks hold; the ones below it fit a table of 65,536 counts.
+#: The shallowest context that the tasks hold; those of one byte and of none are a table of 65,536 rows at most.
 ROOT = 2
 END = 0xFF
 FOLDS, HELD_OUT = 5, 1
 #: Text that one worker handles at once; its keys take some 50 times as much.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 BITS = 8 * (DEPTH + 1)
+#: Keys that are merged, or whose subtrees are made, at once (more where two bytes alone have more).
+RUN_KEYS = 1 << 19
+#: Where each pair of nearest bytes goes in the order of the keys, and which pair that is.
+ORDER = np.argsort(mix(np.arange(1 << 16).astype(U64) + U64(1))).astype(U64)
+PAIR = np.argsort(ORDER)
 
 
 def trains(ids: np.ndarray) -> np.ndarray:
@@ -61,10 +69,15 @@ def contexts(symbols: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return keys | symbols.astype(U64)
 
 
-def place(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Keys with the bucket of their two nearest bytes in front."""
-    near = mix((keys >> U64(BITS - 16)) + U64(1))
-    return (((near >> U64(32)) * U64(buckets)) >> U64(32)) << U64(BITS) | keys
+def place(keys: np.ndarray) -> np.ndarray:
+    """Keys with the two nearest bytes dealt anew, so that equal shares of the order are about equal shares of the pairs."""
+    low = U64(BITS - 16)
+    return ORDER[keys >> low] << low | keys & U64((1 << (BITS - 16)) - 1)
+
+
+def bucket_starts(buckets: int) -> np.ndarray:
+    """The least key of each bucket, and one more."""
+    return np.array([-(-(b << 16) // buckets) << (BITS - 16) for b in range(buckets + 1)], U64)
 
 
 def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,91 +90,116 @@ def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own[first], np.add.reduceat((both & U64(1)).astype(np.int64), first)
 
 
-def _lgamma(x: np.ndarray) -> np.ndarray:
-    shift = np.zeros_like(x)
-    y = x.copy()
-    for _ in range(8):
-        small = y < 8
-        shift = np.where(small, shift + np.log(y), shift)
-        y = np.where(small, y + 1, y)
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
-
-
-class Subtree:
-    """All nodes of the contexts of ROOT to DEPTH bytes that a task holds, from sorted distinct keys and their counts."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.nodes, self.ones, self.all, self.own = {}, {}, {}, {}
-        keys, counts = keys[counts > 0], counts[counts > 0].astype(float)
-        symbol = keys & U64(255)
-        for b in range(8):  # one bit of the byte at a time: its nodes have no others for parents or children
-            node, bit = U64(1 << b) | symbol >> U64(8 - b), ((symbol >> U64(7 - b)) & U64(1)).astype(float)
-            below = None
-            for depth in range(DEPTH, ROOT - 1, -1):
-                nodes, inverse = np.unique((keys >> U64(BITS - 8 * depth)) << U64(8) | node, return_inverse=True)
-                total, ones = np.bincount(inverse, counts, len(nodes)), np.bincount(inverse, counts * bit, len(nodes))
-                del inverse
-                block = _lgamma(ones + 0.5) + _lgamma(total - ones + 0.5) - _lgamma(total + 1) - 1.1447298858494002
-                own, weighted = np.ones(len(nodes)), block
-                if below is not None:
-                    child, value = below
-                    parent = np.searchsorted(nodes, child >> U64(16) << U64(8) | child & U64(255))
-                    weighted = np.logaddexp(block, np.bincount(parent, value, len(nodes))) - np.log(2)
-                    own = np.exp(block - np.log(2) - weighted)
-                at = depth, b
-                self.nodes[at], self.ones[at], self.all[at], self.own[at] = nodes, ones, total, own
-                below = nodes, weighted
-
-    def log_probability(self, keys: np.ndarray, top: np.ndarray) -> np.ndarray:
-        """Natural logarithm of each key's byte in its context; `top` has the counts by (nearest byte, byte)."""
-        out = np.zeros(len(keys))
-        symbol = (keys & U64(255)).astype(np.int64)
-        nearest = ((keys >> U64(BITS - 8)) & U64(255)).astype(np.int64)
-        shallow = Top(top)
-        for b in range(8):
-            node, bit = (1 << b) | symbol >> (8 - b), (symbol >> (7 - b)) & 1
-            p = shallow.one(nearest, node)
-            mixed, rest, alive = p, np.zeros(len(keys)), None
-            for depth in range(ROOT, DEPTH + 1):
-                seen, i = self._seen(keys, node, depth, b)
-                if depth == ROOT:
-                    mixed, rest, alive = np.where(seen, 0.0, p), np.where(seen, 1.0, 0.0), seen
-                if not alive.any():
-                    break
-                # a deeper node takes what the nodes above leave it; the deepest one seen takes all of it
-                deeper, _ = self._seen(keys, node, depth + 1, b)
-                estimate = (self.ones[depth, b][i] + 0.5) / (self.all[depth, b][i] + 1)
-                share = np.where(alive, np.where(deeper, self.own[depth, b][i], 1.0), 0.0)
-                mixed = mixed + rest * share * estimate
-                rest = rest * (1 - share)
-                alive = alive & deeper
-            out += np.log(np.where(bit == 1, mixed, 1 - mixed))
-        return out
-
-    def _seen(self, keys: np.ndarray, node: np.ndarray, depth: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the nodes training has seen, and their places."""
-        if depth > DEPTH or not len(self.nodes[depth, b]):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-        at, nodes = (keys >> U64(BITS - 8 * depth)) << U64(8) | node.astype(U64), self.nodes[depth, b]
-        i = np.minimum(np.searchsorted(nodes, at), len(nodes) - 1)
-        return nodes[i] == at, i
+TABLE = 1 << 14
+_HALF = np.array([math.lgamma(n + 0.5) for n in range(TABLE)])
+_WHOLE = np.array([math.lgamma(n + 1) for n in range(TABLE)])
 
 
-class Top:
-    """Estimates from contexts of one byte, and of none where that byte was never seen."""
+def _lgamma(n: np.ndarray, table: np.ndarray, plus: float) -> np.ndarray:
+    """The logarithm of gamma(n + plus) for whole n."""
+    out = table[np.minimum(n, TABLE - 1).astype(np.int64)]
+    big = np.flatnonzero(n >= TABLE)
+    y = n[big] + plus
+    out[big] = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3)
+    return out
+
+
+def block_log(ones: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The logarithm of the Krichevsky-Trofimov probability of a block with so many ones."""
+    return _lgamma(ones, _HALF, 0.5) + _lgamma(total - ones, _HALF, 0.5) - _lgamma(total, _WHOLE, 1.0) - math.log(math.pi)
+
+
+def weigh(ones: np.ndarray, total: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(weighted log probability, share of a node's own estimate), given the sum of its children's."""
+    block = block_log(ones, total)
+    if below is None:
+        return block, np.ones(len(block))
+    weighted = np.logaddexp(block, below) - math.log(2)
+    return weighted, np.exp(block - math.log(2) - weighted)
 
-    def __init__(self, counts: np.ndarray):
-        symbol = np.arange(256)
-        self.ones, self.all = np.zeros((257, 256)), np.zeros((257, 256))
-        table = np.vstack((counts.reshape(256, 256), counts.reshape(256, 256).sum(0)))
-        for b in range(8):
-            node, bit = (1 << b) | symbol >> (8 - b), (symbol >> (7 - b)) & 1
-            self.all += np.apply_along_axis(lambda r: np.bincount(node, r, 256), 1, table)
-            self.ones += np.apply_along_axis(lambda r: np.bincount(node, r * bit, 256), 1, table)
 
-    def one(self, nearest: np.ndarray, node: np.ndarray) -> np.ndarray:
-        row = np.where(self.all[nearest, node] > 0, nearest, 256)
-        return (self.ones[row, node] + 0.5) / (self.all[row, node] + 1)
+def levels(keys: np.ndarray, counts: np.ndarray, b: int) -> list[tuple[np.ndarray, ...]]:
+    """Of bit b, the nodes of DEPTH bytes of context down to ROOT: (node, ones, total, share, weighted, place of each node or, at
+    DEPTH, key of the level before). Keys are sorted and distinct; a node that training has not seen has a total of 0."""
+    symbol = keys & U64(255)
+    nodes = keys >> U64(8) << U64(8) | U64(1 << b) | symbol >> U64(8 - b)
+    bit = (symbol >> U64(7 - b)) & U64(1)
+    first = np.flatnonzero(np.concatenate(([True], nodes[1:] != nodes[:-1])))
+    inside = np.cumsum(np.concatenate(([False], nodes[1:] != nodes[:-1])))
+    weight = counts.astype(float)
+    nodes, total, ones = nodes[first], np.add.reduceat(weight, first), np.add.reduceat(weight * bit, first)
+    weighted, share = weigh(ones, total, None)
+    out = [(nodes, ones, total, share, weighted, inside)]
+    for _ in range(DEPTH - ROOT):
+        nodes, inside = np.unique(nodes >> U64(16) << U64(8) | nodes & U64(255), return_inverse=True)
+        total, ones, below = (np.bincount(inside, x, len(nodes)) for x in (total, ones, weighted))
+        weighted, share = weigh(ones, total, below)
+        out.append((nodes, ones, total, share, weighted, inside))
+    return out
+
+
+class Top:
+    """Contexts of one byte and of none: estimates, shares and whether training has seen them, by (nearest byte, node)."""
+
+    def __init__(self, sums: np.ndarray):
+        total, ones, below = (x.reshape(256, 256) for x in sums)
+        weighted, share = (x.reshape(256, 256) for x in weigh(ones.ravel(), total.ravel(), below.ravel()))
+        weighted = np.where(total > 0, weighted, 0.0)
+        self.total, self.share, self.estimate = total, share, (ones + 0.5) / (total + 1)
+        self.least = total.sum(0)
+        _, self.least_share = weigh(ones.sum(0), self.least, weighted.sum(0))
+        self.least_estimate = (ones.sum(0) + 0.5) / (self.least + 1)
+
+    def mixed(self, nearest: np.ndarray, node: np.ndarray, deeper: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """The chance of a one, from that under the contexts of ROOT bytes where these are seen."""
+        own, share = self.estimate[nearest, node], self.share[nearest, node]
+        one = np.where(seen, share * own + (1 - share) * deeper, own)
+        own, share = self.least_estimate[node], self.least_share[node]
+        return np.where(self.total[nearest, node] > 0, share * own + (1 - share) * one, np.where(self.least[node] > 0, own, 0.5))
+
+
+def pieces(keys: np.ndarray):
+    """Ranges of about RUN_KEYS sorted keys that hold whole pairs of nearest bytes."""
+    edge = np.concatenate((np.flatnonzero(np.diff(keys >> U64(BITS - 16))) + 1, [len(keys)]))
+    at = 0
+    while at < len(keys):
+        after = edge[np.searchsorted(edge, at, "right") :]
+        stop = int(after[max(int(np.searchsorted(after, at + RUN_KEYS, "right")) - 1, 0)])
+        yield at, stop
+        at = stop
+
+
+def nearest_of(keys: np.ndarray) -> np.ndarray:
+    return PAIR[keys >> U64(BITS - 16)] >> 8
+
+
+def top_sums(keys: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
+    """Adds to `out` (3, 65536) what these subtrees give to the contexts of one byte: totals, ones and log probabilities."""
+    for at, stop in pieces(keys):
+        for b in range(8):
+            nodes, ones, total, _, weighted, _ = levels(keys[at:stop], counts[at:stop], b)[-1]
+            k = (nearest_of(nodes >> U64(8) << U64(BITS - 16)) << 8) | (nodes & U64(255)).astype(np.int64)
+            for row, values in enumerate((total, ones, weighted)):
+                out[row] += np.bincount(k, values, 1 << 16)
+
+
+def log_probability(keys: np.ndarray, counts: np.ndarray, top: Top) -> np.ndarray:
+    """Natural logarithm of each key's byte in its context."""
+    out = np.zeros(len(keys))
+    for at, stop in pieces(keys):
+        some = keys[at:stop]
+        symbol, nearest = (some & U64(255)).astype(np.int64), nearest_of(some)
+        for b in range(8):
+            at_node = chance = alive = None  # of each key: its node, the chance of a one from there on, whether training has seen it
+            for _, ones, total, share, _, inside in levels(some, counts[at:stop], b):
+                at_node = inside if at_node is None else inside[at_node]
+                own, part = ((ones + 0.5) / (total + 1))[at_node], share[at_node]
+                chance = own if alive is None else np.where(alive, part * own + (1 - part) * chance, own)
+                alive = (total > 0)[at_node]
+            node = (1 << b) | symbol >> (8 - b)
+            one = top.mixed(nearest, node, chance, alive)
+            out[at:stop] += np.log(np.where((symbol >> (7 - b)) & 1 == 1, one, 1 - one))
+    return out
 
 
 def _words(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -171,16 +209,18 @@ def _words(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _asked(buckets: int):
+    starts = bucket_starts(buckets)
+
     def run(batches):
         for row in rows_of(batches, "block", "ids", "offs", "raw"):
             number, ids, texts = block_of(row)
             train = trains(ids)
             symbols, begin = stream(texts)
-            grams = counted(place(contexts(symbols, begin), buckets), np.repeat(train, np.diff(begin)))
+            grams = counted(place(contexts(symbols, begin)), np.repeat(train, np.diff(begin)))
             hashes, first = _words(texts)
             words = counted(hashes, np.repeat(train, np.diff(first)))
             out = []
-            edge = np.searchsorted(grams[0], np.arange(buckets + 1).astype(U64) << U64(BITS)).tolist()
+            edge = np.searchsorted(grams[0], starts).tolist()
             near = cuts(words[0] << U64(1), buckets).tolist()
             for b in range(buckets):
                 if edge[b + 1] > edge[b]:
@@ -192,56 +232,82 @@ def _asked(buckets: int):
     return run
 
 
+def merged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of sorted runs, and the sums of their counts; never much more than twice what is distinct at once."""
+    keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
+    held, size = [], 0
+    for i, blob in enumerate(blobs):
+        run = unpack(blob)
+        held.append(run)
+        size += len(run[0])
+        if size >= max(RUN_KEYS, len(keys)) or i == len(blobs) - 1:
+            every, n = np.concatenate([keys, *(x[0] for x in held)]), np.concatenate([counts, *(x[1].astype(np.int64) for x in held)])
+            order = np.argsort(every, kind="stable")
+            every = every[order]
+            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+            keys, counts = every[first], np.add.reduceat(n[order], first)
+            held, size = [], 0
+    return keys, counts
+
+
+def _by_bucket(batches, kinds: tuple[int, ...]):
+    """((bucket, kind), [(block, blob)]) of all that a task has, packed as it came."""
+    held: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
+    for row in rows_of(batches):
+        if row["kind"] in kinds:
+            held.setdefault((row["bucket"], row["kind"]), []).append((row["block"], row["blob"]))
+    while held:
+        yield held.popitem()
+
+
+def _tops(batches):
+    out = np.zeros((3, 1 << 16))
+    for _, of in _by_bucket(batches, (0,)):
+        top_sums(*merged([x for _, x in of]), out)
+    k = np.flatnonzero(out[0])
+    yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), *(pa.array(x[k]) for x in out)], ["k", "total", "ones", "below"])
+
+
 def _told(top):
     """For each block, the logarithms and counts it asked for; block -1 has the words and tokens of the task."""
 
+    def answers(blocks, blobs, words=0, tokens=0):
+        n = len(blocks)
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(blobs, pa.binary()), pa.array([words] * n, pa.int64()), pa.array([tokens] * n, pa.int64())], ["block", "blob", "words", "tokens"])
+
     def run(batches):
-        held: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
-        for row in rows_of(batches):
-            held.setdefault((row["bucket"], row["kind"]), []).append((row["block"], row["blob"]))
-        while held:
-            (b, kind), of = held.popitem()
-            parts = [unpack(x) for _, x in of]
-            keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            counts = np.bincount(inverse, np.concatenate([p[1] for p in parts]).astype(float), len(keys)).astype(np.int64)
-            ends = np.cumsum([0, *(len(p[0]) for p in parts)]).tolist()
-            values = counts
-            if kind == 0:
-                plain = keys & U64((1 << BITS) - 1)
-                tree = Subtree(plain, counts)
-                values = np.concatenate([tree.log_probability(plain[i : i + 100_000], top.value) for i in range(0, len(plain), 100_000)]).astype(np.float32)
-            blocks = [n for n, _ in of]
-            blobs = [pack(np.array([kind, b]), values[inverse[ends[i] : ends[i + 1]]]) for i in range(len(of))]
-            words = [0] * len(of)
-            tokens = list(words)
+        weights = None
+        for (b, kind), of in _by_bucket(batches, (0, 1)):
+            keys, values = merged([x for _, x in of])
             if kind == 1:
-                blocks, blobs, words, tokens = [*blocks, -1], [*blobs, None], [*words, int((counts > 0).sum())], [*tokens, int(counts.sum())]
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(blobs, pa.binary()), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["block", "blob", "words", "tokens"])
+                yield answers([-1], [None], int((values > 0).sum()), int(values.sum()))
+            else:
+                weights = weights or Top(top.value)
+                values = log_probability(keys, values, weights).astype(np.float32)
+            for block, blob in of:
+                yield answers([block], [pack(np.array([kind, b]), values[np.searchsorted(keys, unpack(blob)[0])])])
 
     return run
 
 
-def _scored(buckets: int):
-    def run(batches):
-        for row in rows_of(batches):
-            _, ids, texts = block_of(row)
-            told: tuple[dict, dict] = {}, {}
-            for blob in row["answers"] or ():
-                (kind, b), values = unpack(blob)
-                told[int(kind)][int(b)] = values
-            symbols, begin = stream(texts)
-            logs = _looked_up(place(contexts(symbols, begin), buckets), told[0]).astype(float)
-            total = np.concatenate(([0], np.cumsum(logs)))
-            hashes, first = _words(texts)
-            counts = _looked_up(hashes, told[1]).astype(float)
-            base, known = np.concatenate(([0], np.cumsum(np.log10(counts + 0.5)))), np.concatenate(([0], np.cumsum(counts > 0)))
-            columns = [
-                pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(~trains(ids)), pa.array(np.diff(first).astype(np.int64)), pa.array((known[first[1:]] - known[first[:-1]]).astype(np.int64)),
-                pa.array(base[first[1:]] - base[first[:-1]]), pa.array((total[begin[1:]] - total[begin[:-1]]) / np.log(10)), pa.array(np.diff(begin).astype(np.int64)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORED.split(", ")])
-
-    return run
+def _scored(batches):
+    for row in rows_of(batches):
+        _, ids, texts = block_of(row)
+        told: tuple[dict, dict] = {}, {}
+        for blob in row["answers"] or ():
+            (kind, b), values = unpack(blob)
+            told[int(kind)][int(b)] = values
+        symbols, begin = stream(texts)
+        logs = _looked_up(place(contexts(symbols, begin)), told[0]).astype(float)
+        total = np.concatenate(([0], np.cumsum(logs)))
+        hashes, first = _words(texts)
+        counts = _looked_up(hashes, told[1]).astype(float)
+        base, known = np.concatenate(([0], np.cumsum(np.log10(counts + 0.5)))), np.concatenate(([0], np.cumsum(counts > 0)))
+        columns = [
+            pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(~trains(ids)), pa.array(np.diff(first).astype(np.int64)), pa.array((known[first[1:]] - known[first[:-1]]).astype(np.int64)),
+            pa.array(base[first[1:]] - base[first[:-1]]), pa.array((total[begin[1:]] - total[begin[:-1]]) / np.log(10)), pa.array(np.diff(begin).astype(np.int64)),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORED.split(", ")])
 
 
 SCORED = "doc_id bigint, held_out boolean, n_words bigint, n_known bigint, base double, score double, n_symbols bigint"
@@ -256,34 +322,25 @@ def _looked_up(keys: np.ndarray, told: dict[int, np.ndarray]) -> np.ndarray:
     return values[inverse] if len(values) else np.zeros(0)
 
 
-def _nearest(batches):
-    for row in rows_of(batches, "block", "ids", "offs", "raw"):
-        _, ids, texts = block_of(row)
-        symbols, begin = stream(texts)
-        some = np.repeat(trains(ids), np.diff(begin))
-        counts = np.bincount((contexts(symbols, begin) >> U64(BITS - 8) << U64(8) | symbols.astype(U64))[some].astype(np.int64), minlength=1 << 16)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["k", "n"])
-
-
 def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_symbol."""
     n = partitions(df)
-    buckets = min(2 * n, 1 << 14)  # a bucket's number and a key share 63 bits
+    buckets = min(2 * n, 1 << 16)  # a pair of bytes is never split
     spark = df.sparkSession
-    small_batches(spark)
     blocks = blocks_of(df, doc_id, text, [], BLOCK_BYTES)
-    top = np.zeros(1 << 16)
-    for r in blocks.mapInArrow(_nearest, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
-        top[r.k] = r.n
-    top = spark.sparkContext.broadcast(top)
-    asked = blocks.mapInArrow(_asked(buckets), "bucket int, block bigint, kind int, blob binary").repartition(n, "bucket")
-    told = cut(asked.mapInArrow(_told(top), "block bigint, blob binary, words bigint, tokens bigint"), "lm-answers")
+    with small_batches(spark):
+        asked = blocks.mapInArrow(_asked(buckets), "bucket int, block bigint, kind int, blob binary").repartition(n, "bucket").persist(StorageLevel.DISK_ONLY)
+        sums = np.zeros((3, 1 << 16))
+        for r in asked.mapInArrow(_tops, "k int, total double, ones double, below double").groupBy("k").agg(F.sum("total"), F.sum("ones"), F.sum("below")).collect():  # 65,536 rows at most
+            sums[:, r[0]] = r[1:]
+        top = spark.sparkContext.broadcast(sums)
+        told = cut(asked.mapInArrow(_told(top), "block bigint, blob binary, words bigint, tokens bigint"), "lm-answers")
+        asked.unpersist()
+        found = cut(answered(blocks, told.where("block >= 0").select("block", "blob")).mapInArrow(_scored, SCORED), "lm-scores")
     totals = told.where("block = -1").agg(F.sum("words"), F.sum("tokens")).first()
     own = F.crc32(F.coalesce(df[doc_id].cast("string"), F.lit("")).cast("binary")) % FOLDS
     ends = df.where(own != HELD_OUT).count()
     words, tokens = (totals[0] or 0) + (ends > 0), (totals[1] or 0) + ends
-    found = answered(blocks, told.where("block >= 0").select("block", "blob")).mapInArrow(_scored(buckets), SCORED)
     n_tokens = F.col("n_words") + 1
     base = F.col("base") + float(np.log10(ends + 0.5)) - n_tokens * float(np.log10(tokens + 0.5 * (words + 1)))
     return found.select(

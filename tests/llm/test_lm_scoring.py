@@ -62,10 +62,9 @@ def weighted(docs, depth):
             seen = [k for k in path if k in every]
             kts = [(ones[k] + 0.5) / (every[k] + 1) for k in seen]
             p = kts[-1] if seen else 0.5
-            if len(seen) > 2:  # contexts of fewer bytes only back off
-                for k, own in list(zip(seen, kts, strict=True))[-2:1:-1]:
-                    w = math.exp(kt(k) - math.log(2) - logs[k])
-                    p = w * own + (1 - w) * p
+            for k, own in list(zip(seen, kts, strict=True))[-2::-1]:
+                w = math.exp(kt(k) - math.log(2) - logs[k])
+                p = w * own + (1 - w) * p
             total += math.log10(p if bit else 1 - p)
         out[i] = total
     return out
@@ -73,6 +72,7 @@ def weighted(docs, depth):
 
 def test_against_brute_force(spark, sf, tables, monkeypatch):
     monkeypatch.setattr(_bytes, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(lm_scoring, "RUN_KEYS", 3000)
     whole = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     odd = [(i, t) for i, (_, t) in enumerate(whole[:40])] + [(100, ""), (101, None), (102, "Ünseen 中文 words\n\nhere"), (103, "a"), (104, " a\tA ")]
     for docs, folder in ((whole, sf), (odd, tables(documents=odd))):
@@ -83,9 +83,8 @@ def test_against_brute_force(spark, sf, tables, monkeypatch):
             r = got[i]
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
             assert r.base_score == pytest.approx(score, rel=1e-9)
-        if docs is odd:
-            for i, score in weighted(docs, lm_scoring.DEPTH).items():
-                assert got[i].score == pytest.approx(score, rel=1e-4, abs=1e-4)
+        for i, score in weighted(docs, lm_scoring.DEPTH).items():
+            assert got[i].score == pytest.approx(score, rel=2e-6, abs=1e-5)
 
 
 def test_held_out_texts_take_fewer_bits_than_under_the_base(spark):
