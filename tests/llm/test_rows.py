@@ -44,7 +44,7 @@ def test_decontamination_spans_blocks_and_empty_tables(spark, monkeypatch):
     docs = spark.createDataFrame([("é, ONE two.  Three x", 1, 2), (None, 3, 4)], "text string, n_words int, Hit_Items int")
     items = spark.createDataFrame([(1, "one two three"), (2, "two three x")], "item_id int, text string")
     for size in (1, 1 << 20):
-        monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
+        monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", size)
         a, b = decontamination.scan(docs, items, keep=["n_words", "Hit_Items"]).orderBy("n_words").collect()
         assert a._n_words == 5 and a.hit_words == [1, 2, 3, 4] and a._hit_items == ["1", "2"]
         assert [b"\xc3\xa9, ONE two.  Three x"[s:e] for s, e in a.hit_spans] == [b"ONE two.  Three x"]
@@ -121,6 +121,64 @@ def test_mixing_documents(spark, tables):
     counts = {r.source: r["count"] for r in mixed.groupBy("source").count().collect()}
     assert counts == {"s0": 50, "s1": 100, "s2": 150}
     assert mixing.mix_documents(df.limit(0)).count() == 0
+    # two ids, each in 200 equal rows, and a source that can be copied
+    many = spark.createDataFrame([(i % 2, "a b c d", "s", 1) for i in range(400)] + [(9, "w " * 4800, "t", 1)], "doc_id int, text string, source string, rank int")
+    taken = {r.source: r["count"] for r in mixing.mix_documents(many).groupBy("source").count().collect()}
+    want = targets({"s": 1600, "t": 4800})
+    assert taken["s"] * 4 == pytest.approx(want["s"], abs=2) and taken["t"] == 1
+
+
+def pareto(rows, cap=3):
+    """Copies by the plain definition: expected copies by weight, whole parts for certain, the rest in order of the odds."""
+    import hashlib
+    import math
+
+    out: dict = {}
+    sizes: dict = {}
+    for _, s, n in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    for s, target in targets(sizes).items():
+        own, seen = [], {}
+        for i, _, n in (r for r in rows if r[1] == s):
+            k = seen[i, n] = seen.get((i, n), -1) + 1
+            own.append((i, n, k, 2 ** (math.floor(64 * math.log2(math.log2(n + 2)) + 0.5) / 64)))
+        full: set = set()
+        while True:
+            left = target - sum(cap * n for i, n, k, w in own if (i, n, k) in full)
+            scale = left / (sum(w * n for i, n, k, w in own if (i, n, k) not in full) or 1)
+            more = {(i, n, k) for i, n, k, w in own if (i, n, k) not in full and scale * w >= cap * (1 - 1e-12)}
+            if not more:
+                break
+            full |= more
+        room, order = target, []
+        for i, n, k, w in own:
+            e = cap if (i, n, k) in full else scale * w if n else 0
+            out[i, s, n, k] = math.floor(e)
+            room -= math.floor(e) * n
+            key = ":".join([mixing.SEED, "" if i is None else str(i), s or "", str(n), str(k)])
+            u = (int(hashlib.md5(key.encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            if (p := e - math.floor(e)) > 0:
+                order.append(((u / (1 - u)) / (p / (1 - p)), n, (i, s, n, k)))
+        ahead = 0
+        for _, n, key in sorted(order, key=lambda o: o[0]):
+            out[key] += ahead + n / 2 <= room
+            ahead += n
+    return out
+
+
+@pytest.mark.parametrize("bits", [12, 2])
+def test_mixing_takes_the_documents_of_the_plain_definition(spark, tables, monkeypatch, bits):
+    import random
+
+    rnd = random.Random(bits)
+    monkeypatch.setattr(mixing, "BIN_BITS", bits)
+    monkeypatch.setattr(mixing, "RUN", 3)
+    rows = [(rnd.randint(0, 250), rnd.choice(["a", "b", "c", "d", None]), rnd.choice([0, 1, 2, 5, 9, 40, 300])) for _ in range(500)] + [(None, "a", 3)] * 40
+    folder = tables(documents=[(i, "w " * n, None, s) for i, s, n in rows])
+    want = sorted((str(i), n, c * n) for (i, s, n, k), c in pareto(rows).items())
+    assert sorted((str(r.doc_id), r["size"], r.taken) for r in Q["op8_mixing"](spark, folder).collect()) == want
+    odds = [c for (i, s, n, k), c in pareto(rows).items() if n]
+    assert len(set(odds)) > 2
 
 
 def want_warc(pages):
