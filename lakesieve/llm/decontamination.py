@@ -1,14 +1,15 @@
-"""Benchmark decontamination with one Aho-Corasick automaton over normalised test items.
+"""Benchmark decontamination with an Aho-Corasick automaton over normalised test items.
 
 Text and items are lower-cased (A-Z) and cut into words of letters, digits and non-ASCII characters. Every run of
 `window` consecutive words of an item is a pattern (an item of fewer words, but not none, is one pattern); the automaton
-reads each normalised document once, and hits are mapped back to words and to byte offsets of the original text.
+goes by word numbers, reads each normalised document once, and hits are mapped back to words and to byte offsets of the original text.
 
-Items are the bounded side. They are taken in blocks of BLOCK_BYTES; each block is one automaton that every worker builds
-once, and documents pass through the blocks one after another in the same stage, so a benchmark of any size is no
-broadcast that grows without a check. Null and empty texts have no words and no hits; an item without words matches
+Items are the bounded side: an automaton takes BLOCK_WINDOWS patterns, a few hundred MB at most, whatever the benchmark's
+size (a longer item is split). A benchmark of more is several blocks; documents pass through them one after another, each in a
+stage of its own that reads the state which the one before has written, so a worker holds one automaton at a time.
+Null and empty texts have no words and no hits; a document of any length is read at once; an item without words matches
 nothing; items of equal id count once, and an item whose id is null makes hits but isn't listed; repeated rows are judged
-alike; empty tables give no rows or no hits.
+alike; a name that the kept columns have already gets a leading underscore; empty tables give no rows or no hits.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakesieve.llm._bytes import texts_of
-from lakesieve.llm._spark import free_name
+from lakesieve.llm._spark import cut, free_name
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+#: Patterns of one automaton; each takes about as many nodes of some 80 bytes as it has words.
+BLOCK_WINDOWS = 1 << 17
 #: Rows that are handled at once.
 ROWS = 1000
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -38,41 +40,45 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def _automaton(block: Broadcast):
-    """The automaton over a block's windows, its patterns' lengths in words and the items that have each."""
+    """(automaton over a block's windows, with their lengths and the items that have each; the words' numbers)."""
     import ahocorasick
 
     window, items = block.value
     key = id(items)  # a worker unpickles a broadcast once and keeps it
     if key not in _built:
-        owners: dict[str, list] = {}
-        lengths: dict[str, int] = {}
+        _built.clear()
+        owners: dict[tuple, list] = {}
+        numbers: dict[bytes, int] = {}
         for item, text in items:
-            words = words_of(text)
+            words = tuple([numbers.setdefault(w, len(numbers) + 1) for w in text.split()])
             n = min(window, len(words))
             for i in range(len(words) - n + 1 if n else 0):
-                pattern = " " + b" ".join(words[i : i + n]).decode("latin-1") + " "
-                lengths[pattern] = n
-                of = owners.setdefault(pattern, [])
+                of = owners.setdefault(words[i : i + n], [])
                 if item is not None and (not of or of[-1] != item):
                     of.append(item)
-        machine = ahocorasick.Automaton()
-        for pattern, of in owners.items():
-            machine.add_word(pattern, (lengths[pattern], of))
+        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        some = bool(owners)
+        while owners:
+            pattern, of = owners.popitem()
+            machine.add_word(pattern, (len(pattern), of))
         machine.make_automaton()
-        _built[key] = (machine if owners else None, items)
+        _built[key] = (machine if some else None, numbers), items
     return _built[key][0]
 
 
 def item_blocks(items: DataFrame, item: str, text: str, window: int):
-    """Broadcast blocks of (id, text), each of BLOCK_BYTES at most (or one longer item)."""
+    """Broadcast blocks of (id, words) with BLOCK_WINDOWS windows at most; one at least, maybe empty."""
     spark, rows, size = items.sparkSession, [], 0
     for r in items.select(F.col(f"`{item}`").alias("i"), F.col(f"`{text}`").alias("t")).toLocalIterator():
-        raw = (r.t or "").encode()
-        if rows and size + len(raw) > BLOCK_BYTES:
-            yield spark.sparkContext.broadcast((window, rows))
-            rows, size = [], 0
-        rows.append((None if r.i is None else str(r.i), raw))
-        size += len(raw)
+        words = words_of((r.t or "").encode())
+        for at in range(0, max(len(words) - window, 0) + 1, BLOCK_WINDOWS):
+            part = words[at : at + BLOCK_WINDOWS + window - 1]
+            n = max(len(part) - window, 0) + 1
+            if rows and size + n > BLOCK_WINDOWS:
+                yield spark.sparkContext.broadcast((window, rows))
+                rows, size = [], 0
+            rows.append((None if r.i is None else str(r.i), b" ".join(part)))
+            size += n
     yield spark.sparkContext.broadcast((window, rows))
 
 
@@ -86,24 +92,27 @@ def scan(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "it
     state = df.select(*[F.col(f"`{c}`") for c in keep], F.array().cast("array<int>").alias(own[0]), F.array().cast("array<string>").alias(own[1]), carried)
     schema = T.StructType([df.schema[c] for c in keep])
     schema = schema.add(names["n_words"], T.LongType()).add(names["hit_words"], T.ArrayType(T.IntegerType())).add(names["hit_items"], T.ArrayType(T.StringType())).add(names["hit_spans"], T.ArrayType(T.ArrayType(T.LongType())))
-    blocks = list(item_blocks(items, item_id, item_text, window))
-    for block in blocks[:-1]:
-        state = state.mapInArrow(_pass(block, None), state.schema)
-    return state.mapInArrow(_pass(blocks[-1], [f.name for f in schema]), schema)
+    blocks = item_blocks(items, item_id, item_text, window)
+    last = next(blocks)
+    for block in blocks:
+        state = cut(state.mapInArrow(_pass(last, None), state.schema), "hits")
+        last.unpersist()
+        last = block
+    return state.mapInArrow(_pass(last, [f.name for f in schema]), schema)
 
 
 def _pass(block, names):
     """One block's hits added to the state; with `names`, the state as the result's columns."""
 
     def run(batches):
-        machine = _automaton(block)
+        machine, numbers = _automaton(block)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
                 *rest, words, items, raw = batch.columns
                 texts, words, items = texts_of(raw), words.to_pylist(), items.to_pylist()
                 if machine is not None:
-                    _search(machine, texts, words, items)
+                    _search(machine, numbers, texts, words, items)
                 hits = pa.array(words, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))
                 if names is None:
                     yield pa.RecordBatch.from_arrays([*rest, *hits, raw], batch.schema.names)
@@ -114,21 +123,16 @@ def _pass(block, names):
     return run
 
 
-def _search(machine, texts, words: list, items: list) -> None:
-    data, offs = texts.data.tobytes(), texts.offs.tolist()
+def _search(machine, numbers: dict, texts, words: list, items: list) -> None:
+    data, offs, number = texts.data.tobytes(), texts.offs.tolist(), numbers.get
     for i in range(len(words)):
-        text = " " + b" ".join(words_of(data[offs[i] : offs[i + 1]])).decode("latin-1") + " "
-        found, of = [], set()
-        for end, (n, ids) in machine.iter(text):
-            found.append((end, n))
+        own = tuple([number(w, 0) for w in words_of(data[offs[i] : offs[i + 1]])])
+        found, of = set(), set()
+        for end, (n, ids) in machine.iter(own) if any(own) else ():
+            found.update(range(end + 1 - n, end + 1))
             of.update(ids)
         if found:
-            spaces = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
-            last = np.searchsorted(spaces, [e for e, _ in found])  # number of the word after the hit
-            hit = set(words[i])
-            for stop, (_, n) in zip(last.tolist(), found, strict=True):
-                hit.update(range(stop - n, stop))
-            words[i], items[i] = sorted(hit), sorted(of.union(items[i]))
+            words[i], items[i] = sorted(found.union(words[i])), sorted(of.union(items[i]))
 
 
 def _located(texts, hits: list) -> tuple[np.ndarray, list]:
