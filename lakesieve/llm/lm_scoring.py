@@ -37,7 +37,7 @@ ROOT = 2
 END = 0xFF
 FOLDS, HELD_OUT = 5, 1
 #: Text that one worker handles at once; its keys take some 50 times as much.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 2 << 20
 BITS = 8 * (DEPTH + 1)
 #: Keys that are merged, or whose subtrees are made, at once (more where two bytes alone have more).
 RUN_KEYS = 1 << 19
@@ -250,42 +250,40 @@ def merged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts
 
 
-def _by_bucket(batches, kinds: tuple[int, ...]):
+def _by_bucket(batches):
     """((bucket, kind), [(block, blob)]) of all that a task has, packed as it came."""
     held: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
     for row in rows_of(batches):
-        if row["kind"] in kinds:
-            held.setdefault((row["bucket"], row["kind"]), []).append((row["block"], row["blob"]))
+        held.setdefault((row["bucket"], row["kind"]), []).append((row["block"], row["blob"]))
     while held:
         yield held.popitem()
 
 
 def _tops(batches):
-    out = np.zeros((3, 1 << 16))
-    for _, of in _by_bucket(batches, (0,)):
-        top_sums(*merged([x for _, x in of]), out)
+    """By (nearest byte, node), what the subtrees give to it; -1 has the words and tokens of the task."""
+    out, words, tokens = np.zeros((3, 1 << 16)), 0, 0
+    for (_, kind), of in _by_bucket(batches):
+        keys, counts = merged([x for _, x in of])
+        if kind == 0:
+            top_sums(keys, counts, out)
+        else:
+            words, tokens = words + int((counts > 0).sum()), tokens + int(counts.sum())
     k = np.flatnonzero(out[0])
-    yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), *(pa.array(x[k]) for x in out)], ["k", "total", "ones", "below"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1).astype(np.int32)), *(pa.array(np.append(x[k], y)) for x, y in zip(out, (words, tokens, 0), strict=True))], ["k", "total", "ones", "below"])
 
 
 def _told(top):
-    """For each block, the logarithms and counts it asked for; block -1 has the words and tokens of the task."""
-
-    def answers(blocks, blobs, words=0, tokens=0):
-        n = len(blocks)
-        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(blobs, pa.binary()), pa.array([words] * n, pa.int64()), pa.array([tokens] * n, pa.int64())], ["block", "blob", "words", "tokens"])
+    """For each block, the logarithms and counts it asked for."""
 
     def run(batches):
         weights = None
-        for (b, kind), of in _by_bucket(batches, (0, 1)):
+        for (b, kind), of in _by_bucket(batches):
             keys, values = merged([x for _, x in of])
-            if kind == 1:
-                yield answers([-1], [None], int((values > 0).sum()), int(values.sum()))
-            else:
+            if kind == 0:
                 weights = weights or Top(top.value)
                 values = log_probability(keys, values, weights).astype(np.float32)
             for block, blob in of:
-                yield answers([block], [pack(np.array([kind, b]), values[np.searchsorted(keys, unpack(blob)[0])])])
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([pack(np.array([kind, b]), values[np.searchsorted(keys, unpack(blob)[0])])], pa.binary())], ["block", "blob"])
 
     return run
 
@@ -330,17 +328,19 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     blocks = blocks_of(df, doc_id, text, [], BLOCK_BYTES)
     with small_batches(spark):
         asked = blocks.mapInArrow(_asked(buckets), "bucket int, block bigint, kind int, blob binary").repartition(n, "bucket").persist(StorageLevel.DISK_ONLY)
-        sums = np.zeros((3, 1 << 16))
-        for r in asked.mapInArrow(_tops, "k int, total double, ones double, below double").groupBy("k").agg(F.sum("total"), F.sum("ones"), F.sum("below")).collect():  # 65,536 rows at most
-            sums[:, r[0]] = r[1:]
+        sums, totals = np.zeros((3, 1 << 16)), (0, 0)
+        for k, *x in asked.mapInArrow(_tops, "k int, total double, ones double, below double").groupBy("k").agg(F.sum("total"), F.sum("ones"), F.sum("below")).collect():  # 65,537 rows at most
+            if k < 0:
+                totals = int(x[0]), int(x[1])
+            else:
+                sums[:, k] = x
         top = spark.sparkContext.broadcast(sums)
-        told = cut(asked.mapInArrow(_told(top), "block bigint, blob binary, words bigint, tokens bigint"), "lm-answers")
-        asked.unpersist()
-        found = cut(answered(blocks, told.where("block >= 0").select("block", "blob")).mapInArrow(_scored, SCORED), "lm-scores")
-    totals = told.where("block = -1").agg(F.sum("words"), F.sum("tokens")).first()
+        told = asked.mapInArrow(_told(top), "block bigint, blob binary")
+        found = cut(answered(blocks, told).mapInArrow(_scored, SCORED), "lm-scores")
+        asked.unpersist(True)
     own = F.crc32(F.coalesce(df[doc_id].cast("string"), F.lit("")).cast("binary")) % FOLDS
     ends = df.where(own != HELD_OUT).count()
-    words, tokens = (totals[0] or 0) + (ends > 0), (totals[1] or 0) + ends
+    words, tokens = totals[0] + (ends > 0), totals[1] + ends
     n_tokens = F.col("n_words") + 1
     base = F.col("base") + float(np.log10(ends + 0.5)) - n_tokens * float(np.log10(tokens + 0.5 * (words + 1)))
     return found.select(
