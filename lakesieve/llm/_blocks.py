@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lakesieve.llm import _bytes
 from lakesieve.llm._bytes import Texts, chunks, texts_of
+from lakesieve.llm._spark import released
 
 NO_ID = np.iinfo(np.int64).max
 SCHEMA = "block bigint, ids binary, offs binary, raw binary, rest binary"
@@ -62,7 +63,7 @@ def blocks_of(df: DataFrame, doc_id: str, text: str, rest: list[str] | None = No
                 yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])], SCHEMA_NAMES)
                 number += 1
 
-    return chosen.mapInArrow(run, SCHEMA)
+    return chosen.mapInArrow(released(run), SCHEMA)
 
 
 SCHEMA_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lakesieve.llm._bytes import Texts, chunks, texts_of
+from lakesieve.llm._spark import released
 
 ARROW = {"bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary()}
 
@@ -40,4 +41,4 @@ def with_measures(df: DataFrame, text: str, fields: dict[str, str], measure: Cal
                     columns.append(pa.array([x for v in values for x in v], ARROW[kind]))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import math
+import re
+import shutil
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +19,17 @@ PARTITION_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder named in spark.checkpoint.dir; where that is unset, one of our own, on a single machine only."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
-        own = spark.sparkContext.getCheckpointDir()
-        folder = own or f"file://{tempfile.mkdtemp(prefix='lakesieve-')}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="lakesieve-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -62,6 +70,22 @@ def small_batches(spark: SparkSession, most: int = 8 << 20):
         spark.conf.set(key, old)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where its C library can: Python workers live on between stages, several beside each other."""
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(run):
+    """`run`, which maps record batches, and then `give_back`."""
+
+    def held(batches):
+        yield from run(batches)
+        give_back()
+
+    return held
+
+
 def free_name(taken, base: str) -> str:
     """`base`, with underscores in front until no column has that name (in any case)."""
     low = {c.lower() for c in taken}

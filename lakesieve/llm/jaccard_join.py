@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from lakesieve.llm._blocks import NO_ID, pack, unpack
 from lakesieve.llm._bytes import U64, Texts, chunks, cuts, mix, run_hashes, texts_of, windows, word_hashes
-from lakesieve.llm._spark import cut, partitions
+from lakesieve.llm._spark import cut, partitions, released
 from lakesieve.llm.components import components
 
 WORDS = 5
@@ -316,7 +316,7 @@ def _set_table(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, words: i
                 raw = [(np.unique((x >> U64(32)).astype(np.uint32)) if halved else x).tobytes() for x in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sizes), pa.array(raw, pa.binary())], ["id", "n", "blob"])
 
-    return cut(chosen.mapInArrow(run, "id bigint, n bigint, blob binary"), "sets")
+    return cut(chosen.mapInArrow(released(run), "id bigint, n bigint, blob binary"), "sets")
 
 
 COMPARED = "a bigint, v bigint, b bigint, n bigint, similar boolean, sure boolean, many boolean, k bigint, d bigint, blob binary"
@@ -361,7 +361,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, halved: bool, similarity) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS, strict=True)], NAMED)
 
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return lead.unionByName(other).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first(), "n", "blob").mapInArrow(run, COMPARED)
+    return lead.unionByName(other).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first(), "n", "blob").mapInArrow(released(run), COMPARED)
 
 
 NAMED = [x.split()[0] for x in COMPARED.split(", ")]
@@ -496,7 +496,7 @@ def _in_tasks(rows: DataFrame, similarity) -> DataFrame:
             yield solved(components, members)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, FOUND)
+    return rows.repartition(n, "g").sortWithinPartitions("g").mapInArrow(released(run), FOUND)
 
 
 def _spread(rows: DataFrame, one: bool, similarity) -> DataFrame:
@@ -546,7 +546,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     n = partitions(docs)
     buckets = 2 * n
     narrow = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t"))
-    found = narrow.mapInArrow(_messages(buckets, words, similarity), ROW).repartition(n, "bucket").mapInArrow(_groups(HOT, similarity), ROW)
+    found = narrow.mapInArrow(released(_messages(buckets, words, similarity)), ROW).repartition(n, "bucket").mapInArrow(released(_groups(HOT, similarity)), ROW)
     found = cut(found, "groups")
     sizes = _rows(found, "sizes", "doc_id bigint, n_shingles bigint")
     twins = _rows(found, "links", "a bigint, b bigint")

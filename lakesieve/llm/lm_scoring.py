@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lakesieve.llm._blocks import NO_ID, answered, block_of, blocks_of, pack, rows_of, unpack
 from lakesieve.llm._bytes import U64, Texts, cuts, mix, word_hashes
-from lakesieve.llm._spark import cut, partitions, small_batches
+from lakesieve.llm._spark import cut, partitions, released, small_batches
 
 DEPTH = 5
 #: The shallowest context that the tasks hold; those of one byte and of none are a table of 65,536 rows at most.
@@ -327,16 +327,16 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     spark = df.sparkSession
     blocks = blocks_of(df, doc_id, text, [], BLOCK_BYTES)
     with small_batches(spark):
-        asked = blocks.mapInArrow(_asked(buckets), "bucket int, block bigint, kind int, blob binary").repartition(n, "bucket").persist(StorageLevel.DISK_ONLY)
+        asked = blocks.mapInArrow(released(_asked(buckets)), "bucket int, block bigint, kind int, blob binary").repartition(n, "bucket").persist(StorageLevel.DISK_ONLY)
         sums, totals = np.zeros((3, 1 << 16)), (0, 0)
-        for k, *x in asked.mapInArrow(_tops, "k int, total double, ones double, below double").groupBy("k").agg(F.sum("total"), F.sum("ones"), F.sum("below")).collect():  # 65,537 rows at most
+        for k, *x in asked.mapInArrow(released(_tops), "k int, total double, ones double, below double").groupBy("k").agg(F.sum("total"), F.sum("ones"), F.sum("below")).collect():  # 65,537 rows at most
             if k < 0:
                 totals = int(x[0]), int(x[1])
             else:
                 sums[:, k] = x
         top = spark.sparkContext.broadcast(sums)
-        told = asked.mapInArrow(_told(top), "block bigint, blob binary")
-        found = cut(answered(blocks, told).mapInArrow(_scored, SCORED), "lm-scores")
+        told = asked.mapInArrow(released(_told(top)), "block bigint, blob binary")
+        found = cut(answered(blocks, told).mapInArrow(released(_scored), SCORED), "lm-scores")
         asked.unpersist(True)
     own = F.crc32(F.coalesce(df[doc_id].cast("string"), F.lit("")).cast("binary")) % FOLDS
     ends = df.where(own != HELD_OUT).count()

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from lakesieve.llm import _bytes
 from lakesieve.llm._blocks import NO_ID, answered, block_of, blocks_of, pack, rest_of, rows_of, unpack
 from lakesieve.llm._bytes import U64, Texts, cuts, mix, powers, prefix_hash, span_hash
-from lakesieve.llm._spark import partitions
+from lakesieve.llm._spark import cut, partitions, released, small_batches
 
 LENGTH = 100
 #: Bytes of an anchor; a window's offset to its anchor must fit 7 bits.
@@ -39,7 +39,7 @@ SPREAD = U64(0xA0761D6478BD642F)
 #: Windows that are hashed at once.
 PIECE = 1 << 17
 #: Bytes of records that are sorted at once.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 
 
 def anchors(texts: Texts, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -398,10 +398,10 @@ def answered_blocks(df: DataFrame, doc_id: str, text: str, length: int, rest: li
     n = partitions(df)
     buckets = 2 * n
     blocks = blocks_of(df, doc_id, text, rest=rest)
-    asked = blocks.mapInArrow(_hash_messages(buckets, length), "bucket int, block bigint, blob binary")
-    shared = asked.repartition(n, "bucket").mapInArrow(_shared_hashes, "block bigint, blob binary")
-    sent = answered(blocks, shared).mapInArrow(_context_messages(buckets, length), "bucket int, block bigint, settled boolean, blob binary")
-    runs = sent.repartition(n, "bucket").mapInArrow(_sorted_suffixes(length), "block bigint, blob binary")
+    asked = blocks.mapInArrow(released(_hash_messages(buckets, length)), "bucket int, block bigint, blob binary")
+    shared = asked.repartition(n, "bucket").mapInArrow(released(_shared_hashes), "block bigint, blob binary")
+    sent = answered(blocks, shared).mapInArrow(released(_context_messages(buckets, length)), "bucket int, block bigint, settled boolean, blob binary")
+    runs = sent.repartition(n, "bucket").mapInArrow(released(_sorted_suffixes(length)), "block bigint, blob binary")
     return answered(blocks, runs)
 
 
@@ -423,7 +423,8 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int
             columns = [pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(np.diff(texts.offs)), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "spans", "kept_sha256"])
 
-    return answered_blocks(df, doc_id, text, length, []).mapInArrow(run, "doc_id bigint, n_bytes bigint, spans array<array<bigint>>, kept_sha256 string")
+    with small_batches(df.sparkSession):
+        return cut(answered_blocks(df, doc_id, text, length, []).mapInArrow(released(run), "doc_id bigint, n_bytes bigint, spans array<array<bigint>>, kept_sha256 string"), "spans")
 
 
 def keep(raw: bytes, runs) -> bytes:
@@ -465,7 +466,8 @@ def dedup_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
             yield pa.RecordBatch.from_arrays([columns[c] for c in df_names], df_names).filter(pa.array(alive))
 
     df_names = df.columns
-    return answered_blocks(df, doc_id, text, length, rest).mapInArrow(run, schema)
+    with small_batches(df.sparkSession):
+        return cut(answered_blocks(df, doc_id, text, length, rest).mapInArrow(released(run), schema), "left")
 
 
 def measures() -> list:
