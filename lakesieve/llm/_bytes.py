@@ -85,10 +85,10 @@ class Texts:
     def lowered(self) -> Texts:
         return Texts(np.frombuffer(self.data.tobytes().translate(LOWER), np.uint8), self.offs)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of the words `[^\\x20\\x09-\\x0D]+`, and where each document's words begin."""
+    def words(self, ink: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the words `[^\\x20\\x09-\\x0D]+` (or of those that `ink` marks), and where each document's words begin."""
         edge = np.zeros(len(self.data) + 1, bool)
-        ink = ~WHITE[self.data]
+        ink = ~WHITE[self.data] if ink is None else ink
         edge[self.offs] = True
         before = np.concatenate(([False], ink))
         after = np.concatenate((ink, [False]))

@@ -21,16 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakesieve.llm._bytes import texts_of
-from lakesieve.llm._spark import cut, free_name
+from lakesieve.llm._bytes import chunks, span_digests, texts_of
+from lakesieve.llm._spark import cut, free_name, released, small_batches
 
 WINDOW = 10
 #: Patterns of one automaton; each takes about as many nodes of some 80 bytes as it has words.
 BLOCK_WINDOWS = 1 << 17
-#: Rows that are handled at once.
-ROWS = 1000
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-WORD = np.array([c != 32 for c in NORMAL])
+TO_NORMAL = np.frombuffer(NORMAL, np.uint8)
 
 _built: dict[int, tuple] = {}
 
@@ -39,30 +37,46 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def _automaton(block: Broadcast):
-    """(automaton over a block's windows, with their lengths and the items that have each; the words' numbers)."""
-    import ahocorasick
+class Block:
+    """The automaton over a block's windows, with their lengths and the items that have each, and the numbers of its words."""
+
+    def __init__(self, window: int, items: list[tuple[str | None, bytes]]):
+        import ahocorasick
 
-    window, items = block.value
-    key = id(items)  # a worker unpickles a broadcast once and keeps it
-    if key not in _built:
-        _built.clear()
         owners: dict[tuple, list] = {}
         numbers: dict[bytes, int] = {}
         for item, text in items:
-            words = tuple([numbers.setdefault(w, len(numbers) + 1) for w in text.split()])
+            words = tuple([numbers.setdefault(w, len(numbers)) for w in text.split()])
             n = min(window, len(words))
             for i in range(len(words) - n + 1 if n else 0):
                 of = owners.setdefault(words[i : i + n], [])
                 if item is not None and (not of or of[-1] != item):
                     of.append(item)
-        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        some = bool(owners)
+        self.least = min(map(len, owners), default=0)
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         while owners:
             pattern, of = owners.popitem()
-            machine.add_word(pattern, (len(pattern), of))
-        machine.make_automaton()
-        _built[key] = (machine if some else None, numbers), items
+            self.machine.add_word(pattern, (len(pattern), of))
+        self.machine.make_automaton()
+        self.names = list(numbers)
+        every = np.frombuffer(b"".join(self.names), np.uint8)
+        ends = np.cumsum([len(w) for w in self.names], dtype=np.int64)
+        hashes = span_digests(every, np.concatenate(([0], ends[:-1]))[: len(ends)], ends)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of words by their hashes, -1 for those that no item has."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.order[at], -1)
+
+
+def _block(sent: Broadcast) -> Block:
+    window, items = sent.value
+    key = id(items)  # a worker unpickles a broadcast once and keeps it
+    if key not in _built:
+        _built.clear()
+        _built[key] = Block(window, items), items
     return _built[key][0]
 
 
@@ -101,60 +115,65 @@ def scan(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "it
     return state.mapInArrow(_pass(last, [f.name for f in schema]), schema)
 
 
-def _pass(block, names):
+def _pass(sent, names):
     """One block's hits added to the state; with `names`, the state as the result's columns."""
 
     def run(batches):
-        machine, numbers = _automaton(block)
+        block = _block(sent)
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
+            every, at = texts_of(whole.column(whole.num_columns - 1)), 0
+            for at, texts in chunks(every):
+                batch = whole.slice(at, len(texts))
                 *rest, words, items, raw = batch.columns
-                texts, words, items = texts_of(raw), words.to_pylist(), items.to_pylist()
-                if machine is not None:
-                    _search(machine, numbers, texts, words, items)
+                words, items = words.to_pylist(), items.to_pylist()
+                normal = TO_NORMAL[texts.data]
+                starts, ends, first = texts.words(normal != 32)
+                if block.least:
+                    _search(block, normal, starts, ends, first, words, items)
                 hits = pa.array(words, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))
                 if names is None:
                     yield pa.RecordBatch.from_arrays([*rest, *hits, raw], batch.schema.names)
                 else:
-                    counts, spans = _located(texts, words)
-                    yield pa.RecordBatch.from_arrays([*rest, pa.array(counts), *hits, pa.array(spans, pa.list_(pa.list_(pa.int64())))], names)
-
-    return run
+                    spans = [_spans(starts[a:b] - o, ends[a:b] - o, hit) if hit else [] for a, b, o, hit in zip(first[:-1].tolist(), first[1:].tolist(), texts.offs.tolist(), words, strict=False)]
+                    yield pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(first).astype(np.int64)), *hits, pa.array(spans, pa.list_(pa.list_(pa.int64())))], names)
+
+    return released(run)
+
+
+def _search(block: Block, normal, starts, ends, first, words: list, items: list) -> None:
+    """Runs of words that items have, no shorter than the shortest pattern, go through the automaton."""
+    numbers = block.numbers(span_digests(normal, starts, ends))
+    doc = np.repeat(np.arange(len(words)), np.diff(first))
+    known = numbers >= 0
+    cut_at = np.concatenate(([True], known[1:] != known[:-1]))[: len(known)] | np.concatenate(([True], doc[1:] != doc[:-1]))[: len(known)]
+    begin = np.flatnonzero(cut_at)
+    stop = np.concatenate((begin[1:], [len(known)]))[: len(begin)]
+    long = known[begin] & (stop - begin >= block.least) if len(begin) else begin
+    found: dict[int, tuple[set, set]] = {}
+    for a, b in zip(begin[long].tolist(), stop[long].tolist(), strict=True):
+        hits = list(block.machine.iter(tuple(numbers[a:b].tolist())))
+        if not hits or any(normal[starts[k] : ends[k]].tobytes() != block.names[numbers[k]] for k in range(a, b)):
+            if hits:
+                raise ValueError("two words share a hash")  # a chance of 2^-64 a pair; never a wrong result
+            continue
+        i = int(doc[a])
+        hit, of = found.setdefault(i, (set(), set()))
+        for end, (n, ids) in hits:
+            hit.update(range(a + end + 1 - n - int(first[i]), a + end + 1 - int(first[i])))
+            of.update(ids)
+    for i, (hit, of) in found.items():
+        words[i], items[i] = sorted(hit.union(words[i])), sorted(of.union(items[i]))
 
 
-def _search(machine, numbers: dict, texts, words: list, items: list) -> None:
-    data, offs, number = texts.data.tobytes(), texts.offs.tolist(), numbers.get
-    for i in range(len(words)):
-        own = tuple([number(w, 0) for w in words_of(data[offs[i] : offs[i + 1]])])
-        found, of = set(), set()
-        for end, (n, ids) in machine.iter(own) if any(own) else ():
-            found.update(range(end + 1 - n, end + 1))
-            of.update(ids)
-        if found:
-            words[i], items[i] = sorted(found.union(words[i])), sorted(of.union(items[i]))
-
-
-def _located(texts, hits: list) -> tuple[np.ndarray, list]:
-    """How many words each text has, and the bytes of its runs of hit words."""
-    ink = WORD[texts.data]
-    begins = ink & np.concatenate(([True], ~ink[:-1]))[: len(ink)]
-    firsts = texts.offs[:-1][np.diff(texts.offs) > 0]
-    begins[firsts] = ink[firsts]
-    spans = []
-    for i, hit in enumerate(hits):
-        if not hit:
-            spans.append([])
-            continue
-        own = ink[texts.offs[i] : texts.offs[i + 1]]
-        edge = np.diff(np.concatenate(([False], own, [False])).astype(np.int8))
-        starts, ends, at = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), np.array(hit)
-        gap = np.flatnonzero(np.diff(at) > 1)
-        spans.append([[int(starts[a]), int(ends[b])] for a, b in zip(at[np.concatenate(([0], gap + 1))], at[np.concatenate((gap, [len(at) - 1]))], strict=True)])
-    return texts.sums(begins), spans
+def _spans(starts, ends, hit: list[int]) -> list[list[int]]:
+    """First and last byte of each run of hit words."""
+    at = np.array(hit)
+    gap = np.flatnonzero(np.diff(at) > 1)
+    return [[int(starts[a]), int(ends[b])] for a, b in zip(at[np.concatenate(([0], gap + 1))], at[np.concatenate((gap, [len(at) - 1]))], strict=True)]
 
 
 def filter_documents(df: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `df` without a hit, with its columns."""
     hits = free_name(df.columns, "hit_words")
-    return scan(df, items, text).where(F.size(F.col(hits)) == 0).select(*[F.col(f"`{c}`") for c in df.columns])
+    with small_batches(df.sparkSession):
+        return cut(scan(df, items, text).where(F.size(F.col(hits)) == 0).select(*[F.col(f"`{c}`") for c in df.columns]), "clean")

@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from lakesieve.llm._blocks import NO_ID, pack, unpack
 from lakesieve.llm._bytes import U64, Texts, chunks, cuts, mix, run_hashes, texts_of, windows, word_hashes
-from lakesieve.llm._spark import cut, partitions, released
+from lakesieve.llm._spark import cut, partitions, released, small_batches
 from lakesieve.llm.components import components
 
 WORDS = 5
@@ -543,6 +543,11 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity=SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles) of every row, and (id, component) of every document that has a link."""
+    with small_batches(docs.sparkSession):
+        return _linked(docs, doc_id, text, words, similarity)
+
+
+def _linked(docs: DataFrame, doc_id: str, text: str, words: int, similarity) -> tuple[DataFrame, DataFrame]:
     n = partitions(docs)
     buckets = 2 * n
     narrow = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t"))

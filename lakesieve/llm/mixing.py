@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakesieve.llm._rows import with_measures
-from lakesieve.llm._spark import cut, free_name
+from lakesieve.llm._spark import cut, free_name, small_batches
 
 CAP = 3
 BIN_BITS = 12
@@ -145,6 +145,12 @@ def mix(sizes: DataFrame, cap: int = CAP, seed: str = SEED, weight: str | None =
 
 
 def mix_documents(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """The rows of `df`, each as often as the mix takes it, with `copy` from 1 on: see `_mixed`."""
+    with small_batches(df.sparkSession):
+        return _mixed(df, text, source, doc_id, cap, seed)
+
+
+def _mixed(df: DataFrame, text: str, source: str, doc_id: str, cap: int, seed: str) -> DataFrame:
     """The rows of `df`, each as often as the mix takes it, with `copy` from 1 on.
 
     Copies are joined back by id, source, size and a hash of the row; of rows that agree in all, one stands for the copies of all.
@@ -163,4 +169,4 @@ def mix_documents(df: DataFrame, text: str = "text", source: str = "source", doc
     again = again.groupBy(*own.values()).agg(F.first(F.struct(*[held[c] for c in df.columns])).alias("_row")).select("_row.*", own["copies"])
     once = both.where(F.col(own["rows"]) == 1).select(*[held[c] for c in df.columns], own["copies"])
     copies = F.explode(F.sequence(F.lit(1), F.col(own["copies"]).cast("int"))).alias(free_name(df.columns, "copy"))
-    return once.unionByName(again).select(*[F.col(f"`{c}`") for c in df.columns], copies)
+    return cut(once.unionByName(again).select(*[F.col(f"`{c}`") for c in df.columns], copies), "mixed")

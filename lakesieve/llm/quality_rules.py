@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lakesieve.llm._bytes import U64, WHITE, Texts, mix, span_digests, windows, word_hashes
 from lakesieve.llm._rows import with_measures
-from lakesieve.llm._spark import free_name
+from lakesieve.llm._spark import cut, free_name, small_batches
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -121,4 +121,5 @@ def ablations(entries: DataFrame, policy: str, bits: str = "failed_bits") -> Dat
 def filter_documents(df: DataFrame, policy: str = "web-1", text: str = "text") -> DataFrame:
     """The rows of `df` that the policy keeps, with its columns."""
     bits = free_name(df.columns, "failed_bits")
-    return ledger(df, text).where(passes(policy, bits)).select(*[F.col(f"`{c}`") for c in df.columns])
+    with small_batches(df.sparkSession):
+        return cut(ledger(df, text).where(passes(policy, bits)).select(*[F.col(f"`{c}`") for c in df.columns]), "kept")
