@@ -4,23 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SPACE = r"(?U)[\s\x1c-\x1f]"
+#: What Python takes for white space, as a class of a regular expression and as characters.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 WORD = r"[\p{L}\p{N}_]+"
+DIGITS = "0123456789"
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def collapsed(x: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return strip(F.regexp_replace(x, rf"{SPACE}+", " "))
+    return F.btrim(F.regexp_replace(x, f"{SPACE}+", " "), F.lit(" "))
 
 
-def clean(x: Column) -> Column:
-    """NULL as empty, without NUL characters and outer white space."""
-    return strip(F.replace(F.coalesce(x.cast("string"), F.lit("")), F.lit("\0"), F.lit("")))
+def plain(x: Column, kind: T.DataType = T.StringType()) -> Column:
+    """A value of any type as text: bytes as UTF-8, lists and structs as JSON with all their fields, NULL as empty."""
+    if isinstance(kind, T.BinaryType):
+        text = F.make_valid_utf8(x.cast("string"))
+    elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        text = F.to_json(x, {"ignoreNullFields": "false"})
+    elif isinstance(kind, T.BooleanType):
+        text = F.initcap(x.cast("string"))
+    else:
+        text = x.cast("string")
+    return F.coalesce(text, F.lit(""))
+
+
+def clean(x: Column, kind: T.DataType = T.StringType()) -> Column:
+    """A value as text, without NUL characters and outer white space."""
+    return strip(F.translate(plain(x, kind), "\0", ""))
 
 
 def split_words(x: Column) -> Column:

@@ -6,10 +6,11 @@ order by rarity makes those prefixes meet seldom. Elements found once can't meet
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesieve.functions.text import bound, words
+from lakesieve.store import small, written
 
 GRAM, PERCENT, FAIL, RESPONSE = 5, 85, 0.95, 0.5
 
@@ -27,10 +28,10 @@ def near_pairs(samples: DataFrame) -> DataFrame:
     """(a, b, jaccard), a < b, among first copies: shingle Jaccard of prompt and response from 0.85, word Jaccard of responses from 0.5."""
     firsts = samples.groupBy("content_hash").agg(F.min("id").alias("id")).select("id")
     texts = samples.join(firsts, "id", "left_semi").select("id", words(F.concat_ws("\n", "prompt", "response")).alias("w"), F.array_distinct(words(F.col("response"))).alias("r"))
-    sets = texts.select("id", shingles(F.col("w")).alias("s"), "r")
+    sets = written(texts.select("id", shingles(F.col("w")).alias("s"), "r"), "sets")
     grams = sets.select("id", F.size("s").alias("m"), F.explode("s").alias("h"))
     shared = grams.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
-    ranked = grams.join(shared, "h").groupBy("id", "m").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("g"))
+    ranked = grams.join(small(shared, "grams"), "h").groupBy("id", "m").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("g"))
     # elements of one document only stand first and take their part of the prefix
     reach = F.col("m") - F.ceil(F.col("m") * PERCENT / 100) + 1 - (F.col("m") - F.size("g"))
     prefix = ranked.where(reach > 0).select("id", "m", F.explode(F.slice("g", F.lit(1), reach.cast("int"))).alias("x")).select("id", "m", "x.h")
@@ -49,3 +50,16 @@ def near_severity(samples: DataFrame) -> DataFrame:
     """(id, near): fail or warn where an earlier sample is alike; others have no row."""
     best = near_pairs(samples).groupBy(F.col("b").alias("id")).agg(F.max("jaccard").alias("j"))
     return best.select("id", F.when(F.col("j") >= FAIL, "fail").otherwise("warn").alias("near"))
+
+
+def near_lists(pairs: DataFrame, order: DataFrame, most: int = 5) -> DataFrame:
+    """(id, earlier, later): of each sample, the samples before and after it that are alike, the likest `most` of each."""
+    pairs = written(pairs, "pairs")
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "jaccard").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "jaccard"))
+    at = order.select("id", F.struct("sample_index", "id").alias("own"))
+    both = both.join(at, "id").join(at.select(F.col("id").alias("other"), F.col("own").alias("its")), "other").withColumn("before", F.col("its") < F.col("own"))
+    rank = F.row_number().over(Window.partitionBy("id", "before").orderBy(F.desc("jaccard"), "other"))
+    few = both.withColumn("k", rank).where(F.col("k") <= most)
+    entry = F.struct("k", F.struct(F.col("other").alias("id"), "jaccard").alias("e"))
+    lists = few.groupBy("id").agg(*(F.transform(F.array_sort(F.collect_list(F.when(F.col("before") == side, entry))), lambda x: x["e"]).alias(name) for name, side in (("earlier", True), ("later", False))))
+    return lists

@@ -1,13 +1,17 @@
-"""Filters over samples, listing, dashboard measures, vector search and export splits."""
+"""Filters over samples, listing, dashboard measures and export splits."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesieve.functions.text import like_pattern
+from lakesieve.store import positions
+
+
+BIN_DIGITS = 3
 
 
 @dataclass(frozen=True)
@@ -52,6 +56,64 @@ def page(samples: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     return samples.orderBy("dataset_id", "id").offset(offset).limit(limit)
 
 
+def neighbours(samples: DataFrame) -> DataFrame:
+    """(id, prev_id, next_id): the samples before and after each in its dataset, found by their places in the order."""
+    placed = positions(samples.select("id", "dataset_id", "sample_index"), ["dataset_id", "sample_index", "id"], "place")
+    near = placed.select("dataset_id", F.col("id").alias("other"), F.col("place").alias("at"))
+    out = placed
+    for name, step in (("prev_id", -1), ("next_id", 1)):
+        out = out.join(near.select("dataset_id", (F.col("at") - step).alias("place"), F.col("other").alias(name)), ["dataset_id", "place"], "left")
+    return out.select("id", "prev_id", "next_id")
+
+
+STATUSES = ("pending", "pass", "warn", "fail")
+CHECKS = ("empty_or_short", "length_outlier", "exact_duplicate", "near_duplicate", "pii", "non_english", "refusal_boilerplate", "formatting")
+
+
+def _known(df: DataFrame, name: str, values: tuple[str, ...]) -> DataFrame:
+    rows = F.explode(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(v).alias(name)) for i, v in enumerate(values))))
+    return df.sparkSession.range(1).select(rows.alias("r")).select("r.*")
+
+
+def status_counts(samples: DataFrame) -> DataFrame:
+    """(qc_status, n, percent) of the four statuses, with 0 for those that no sample has."""
+    n = samples.groupBy("qc_status").agg(F.count("*").alias("n"))
+    every = _known(samples, "qc_status", STATUSES).join(n, "qc_status", "left").select("place", "qc_status", F.coalesce("n", F.lit(0)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy())  # four rows
+    return every.select("place", "qc_status", "n", F.coalesce(F.round(100 * F.col("n") / total), F.lit(0)).cast("bigint").alias("percent")).orderBy("place").drop("place")
+
+
+def check_counts(results: DataFrame) -> DataFrame:
+    """(check_name, warn, fail) of all eight checks, with 0 where there are none, and of other names behind them."""
+    n = results.groupBy("check_name").agg(F.count_if(F.col("severity") == "warn").alias("warn"), F.count_if(F.col("severity") == "fail").alias("fail"))
+    every = _known(results, "check_name", CHECKS).join(n, "check_name", "full")
+    return every.select("check_name", F.coalesce("warn", F.lit(0)).alias("warn"), F.coalesce("fail", F.lit(0)).alias("fail"), F.coalesce("place", F.lit(len(CHECKS))).alias("place")).orderBy("place", "check_name").drop("place")
+
+
+def categories(samples: DataFrame, limit: int = 500) -> DataFrame:
+    """The categories there are."""
+    return samples.select("category").where("category is not null").distinct().orderBy("category").limit(limit)
+
+
+def category_bars(samples: DataFrame, most: int = 14) -> DataFrame:
+    """The most frequent categories, and one row for all others."""
+    n = samples.groupBy(F.coalesce("category", F.lit("uncategorised")).alias("name")).agg(F.count("*").alias("n"))
+    first = n.orderBy(F.desc("n"), "name").limit(most)
+    rest = n.join(F.broadcast(first.select("name")), "name", "left_anti").agg(F.sum("n").alias("n")).where("n is not null").select(F.lit("rest").alias("name"), "n")
+    return first.unionByName(rest)
+
+
+def sample_results(results: DataFrame, sample_id: int) -> DataFrame:
+    """A sample's results, the worst first."""
+    rank = F.when(F.col("severity") == "fail", 0).when(F.col("severity") == "warn", 1).otherwise(2)
+    return results.where(F.col("id") == sample_id).orderBy(rank, "check_name")
+
+
+def flagged(results: DataFrame) -> DataFrame:
+    """(id, flagged): names of the checks that a sample does not pass."""
+    return results.where("severity <> 'pass'").groupBy("id").agg(F.array_sort(F.collect_set("check_name")).alias("flagged"))
+
+
 def category_counts(samples: DataFrame, limit: int = 30) -> DataFrame:
     name = F.coalesce("category", F.lit("uncategorised"))
     return samples.groupBy(name.alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(limit)
@@ -70,23 +132,6 @@ def token_histogram(samples: DataFrame, buckets: int = 12) -> DataFrame:
     return slots.join(counts, "b", "left").select(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    def total(x):
-        return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-
-    def dot(x, y):
-        return total(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")))
-
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def similar(vectors: DataFrame, vec_id: int, k: int = 10) -> DataFrame:
-    """The k nearest of all other vectors to a stored one."""
-    one = vectors.where(F.col("vec_id") == vec_id).select(F.col("embedding").alias("q"))
-    held = vectors.where(F.col("vec_id") != vec_id).join(F.broadcast(one))
-    return held.select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 4).alias("similarity"), cosine(F.col("embedding"), F.col("q")).alias("exact")).orderBy(F.desc("exact"), "vec_id").limit(k).drop("exact")
-
-
 def val_count(n: int, ratio: float) -> int:
     """How many of n samples are held out: rounded, one at least and not all."""
     if n <= 0 or ratio <= 0:
@@ -96,11 +141,28 @@ def val_count(n: int, ratio: float) -> int:
 
 
 def split(samples: DataFrame, ratio: float, seed: int) -> DataFrame:
-    """(id, split): the val_count ids of least md5(seed:id) are for validation."""
-    k = val_count(samples.count(), ratio)
+    """(id, split): the val_count ids of least md5(seed:id) are for validation.
+
+    Ids are counted by the first digits of that rank, twice; only those of one bin in 16^6 are sorted, and what comes of it is a bound.
+    """
     rank = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
-    chosen = samples.select("id").orderBy(rank, "id").limit(k).select("id", F.lit(True).alias("v"))
-    return samples.select("id").join(chosen, "id", "left").select("id", F.when(F.col("v"), "val").otherwise("train").alias("split"))
+    ids = samples.select("id", rank.alias("rank"))
+    k, prefix, edge = None, "", None
+    for _ in range(2):
+        some = ids.where(F.startswith("rank", F.lit(prefix)))
+        bins = sorted((r.b, r["count"]) for r in some.groupBy(F.substring("rank", len(prefix) + 1, BIN_DIGITS).alias("b")).count().collect())  # 16^3 rows at most
+        left = k = val_count(sum(c for _, c in bins), ratio) if k is None else left
+        for b, c in bins:
+            if left <= c:
+                break
+            left -= c
+        if not left:
+            break
+        prefix += b
+    if left:
+        edge = ids.where(F.startswith("rank", F.lit(prefix))).orderBy("rank", "id").limit(left).agg(F.max(F.struct("rank", "id")).alias("e")).first().e
+    val = F.lit(False) if edge is None else F.struct("rank", "id") <= F.struct(F.lit(edge["rank"]), F.lit(edge["id"]).cast(dict(samples.dtypes)["id"]))
+    return ids.select("id", F.when(val, "val").otherwise("train").alias("split"))
 
 
 def export_lines(samples: DataFrame, form: str = "jsonl") -> DataFrame:

@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakesieve.functions.text import clean, collapsed
+from lakesieve.sources.fields import class_label
+
+# Roles in chats.
+USER_ROLES = ("user", "human", "prompter")
+REPLY_ROLES = ("assistant", "gpt", "bot", "model", "chatgpt")
+SYSTEM_ROLES = ("system",)
+CATEGORY_CHARS = 100
+TURN = "struct<role:string,text:string>"
 
 
 def with_derived(df: DataFrame) -> DataFrame:
-    """Rows (id, dataset_id, prompt, context, response, category) with all that is derived from their texts."""
-    prompt, response, context = clean(F.col("prompt")), clean(F.col("response")), clean(F.col("context"))
-    texts = F.struct(prompt.alias("prompt"), F.nullif(context, F.lit("")).alias("context"), response.alias("response"), F.nullif(F.substring(clean(F.col("category")), 1, 100), F.lit("")).alias("category"))
-    df = df.select("id", "dataset_id", F.inline(F.array(texts)))  # a generator keeps its result: texts are cleaned once, not for each use
+    """Rows (id, dataset_id, sample_index, prompt, context, response, category) with all that is derived from their texts.
+
+    sample_index may be missing; it is the id then.
+    """
+    kinds = {f.name: f.dataType for f in df.schema}
+    cleaned = {c: clean(F.col(c), kinds[c]) for c in ("prompt", "context", "response", "category")}
+    cleaned["context"] = F.nullif(cleaned["context"], F.lit(""))
+    cleaned["category"] = F.nullif(F.substring(cleaned["category"], 1, CATEGORY_CHARS), F.lit(""))
+    index = F.col("sample_index") if "sample_index" in kinds else F.col("id")
+    df = df.select("id", "dataset_id", index.cast("bigint").alias("sample_index"), *(v.alias(c) for c, v in cleaned.items()))
     key = F.concat_ws("\n", *(collapsed(F.lower(F.coalesce(F.col(c), F.lit("")))) for c in ("prompt", "context", "response")))
     chars = F.length("prompt") + F.coalesce(F.length("context"), F.lit(0)) + F.length("response")
-    return df.select("*", F.length("prompt").alias("prompt_chars"), F.length("response").alias("response_chars"), F.ceil(chars / 4).cast("int").alias("tokens_est"), F.sha1(key).alias("content_hash"), F.lit("pending").alias("qc_status"))
+    return df.select(
+        "*", F.length("prompt").alias("prompt_chars"), F.length("response").alias("response_chars"), F.ceil(chars / 4).cast("int").alias("tokens_est"), F.sha1(key).alias("content_hash"),
+        F.lit("pending").alias("qc_status"), F.lit(None).cast("double").alias("qc_score"), F.lit(None).cast("string").alias("lang"),
+    )
 
 
 def from_documents(docs: DataFrame) -> DataFrame:
@@ -28,16 +46,65 @@ def from_documents(docs: DataFrame) -> DataFrame:
     ))
 
 
-def parse_chat(turns):
+def first_of(turns: Column, roles: tuple[str, ...]) -> Column:
+    return F.try_element_at(F.filter(turns, lambda t: t["role"].isin(*roles)), F.lit(1))["text"]
+
+
+def parse_chat(turns: Column) -> tuple[Column, Column, Column]:
     """(system, prompt, response) of an ordered array<struct<role,text>>: the system turn only before the first user turn, the reply only after it."""
-    user = ("user", "human", "prompter")
-    reply = ("assistant", "gpt", "model", "bot", "chatgpt")
     n = F.size(turns)
-    first = F.array_min(F.filter(F.transform(turns, lambda t, i: F.when(t["role"].isin(*user), i + 1)), lambda i: i.isNotNull()))
+    first = F.array_min(F.filter(F.transform(turns, lambda t, i: F.when(t["role"].isin(*USER_ROLES), i + 1)), lambda i: i.isNotNull()))
     before = F.slice(turns, 1, F.coalesce(first, n + 1) - 1)
     after = F.when(first.isNotNull(), F.slice(turns, first + 1, F.greatest(n - first, F.lit(0))))
-    system = F.try_element_at(F.filter(before, lambda t: t["role"] == "system"), F.lit(1))["text"]
-    return system, F.try_element_at(turns, first)["text"], F.try_element_at(F.filter(after, lambda t: t["role"].isin(*reply)), F.lit(1))["text"]
+    return first_of(before, SYSTEM_ROLES), F.try_element_at(turns, first)["text"], first_of(after, REPLY_ROLES)
+
+
+def content_text(content: Column, kind: T.DataType) -> Column:
+    """The text of a message: a list of parts gives the texts that aren't empty, one a line."""
+    if not isinstance(kind, T.ArrayType):
+        return clean(content, kind)
+    part = kind.elementType
+    if isinstance(part, T.StructType):
+        own = {f.name: f.dataType for f in part}
+        texts = F.transform(content, lambda p: clean(p["text"], own["text"])) if "text" in own else F.array().cast("array<string>")
+    else:
+        texts = F.transform(content, lambda p: clean(p, part))
+    return clean(F.array_join(F.filter(texts, lambda t: t != ""), "\n"))
+
+
+def turns_of(chat: Column, kind: T.DataType) -> Column:
+    """A chat in any of its forms as array<struct<role,text>>: {role, content} or {from, value}, or either as JSON."""
+    if isinstance(kind, T.StringType):
+        # a content is a text or a list of parts
+        held = F.from_json(chat, "array<struct<role:string,`from`:string,content:string,value:string>>")
+        parts = lambda c: F.from_json(c, "array<struct<text:string>>")
+        text = lambda c: F.when(F.startswith(F.ltrim(c), F.lit("[{")) & parts(c).isNotNull(), F.array_join(F.filter(F.transform(parts(c), lambda p: clean(p["text"])), lambda t: t != ""), "\n")).otherwise(clean(c))
+        return F.transform(held, lambda m: F.struct(F.lower(clean(F.coalesce(m["role"], m["from"]))).alias("role"), text(F.coalesce(m["content"], m["value"])).alias("text")))
+    message = kind.elementType
+    own = {f.name: f.dataType for f in message}
+    role = next((c for c in ("role", "from") if c in own), None)
+    body = next((c for c in ("content", "value", "text") if c in own), None)
+    told = lambda m: F.struct((F.lower(clean(m[role], own[role])) if role else F.lit("")).alias("role"), (content_text(m[body], own[body]) if body else F.lit("")).alias("text"))
+    return F.transform(chat, told)
+
+
+def extract(rows: DataFrame, fields: dict[str, str], labels: dict[str, list[str]] | None = None, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """(prompt, context, response, category) of source rows under a mapping, behind the columns `keep`; other columns are not read.
+
+    Columns named for prompt, response or context win over the turns of a chat. A chat that is no JSON is the prompt.
+    """
+    kinds = {f.name: f.dataType for f in rows.schema}
+    got = {f: clean(F.col(f"`{c}`"), kinds[c]) for f, c in fields.items() if f != "messages"}
+    if fields.get("category") in (labels or {}):
+        got["category"] = class_label(F.col(f"`{fields['category']}`"), labels[fields["category"]])
+    if "messages" in fields:
+        chat, kind = F.col(f"`{fields['messages']}`"), kinds[fields["messages"]]
+        system, prompt, response = parse_chat(turns_of(chat, kind))
+        if isinstance(kind, T.StringType):
+            prompt = F.when(F.from_json(chat, "array<string>").isNull(), clean(chat)).otherwise(prompt)
+        got = {"prompt": prompt, "response": response, "context": system} | got
+    none = F.lit(None).cast("string")
+    return rows.select(*keep, *(got.get(f, none).alias(f) for f in ("prompt", "context", "response", "category")))
 
 
 def from_conversations(turns: DataFrame) -> DataFrame:
@@ -47,12 +114,6 @@ def from_conversations(turns: DataFrame) -> DataFrame:
     return with_derived(chats.select(F.col("conv_id").alias("id"), F.lit(2).cast("bigint").alias("dataset_id"), prompt.alias("prompt"), system.alias("context"), response.alias("response"), F.lit(None).cast("string").alias("category")))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet, JSON lines, or a JSON array or object whose first list holds the rows."""
-    if not path.endswith((".json", ".jsonl")):
-        return spark.read.parquet(path)
-    if path.endswith(".jsonl"):
-        return spark.read.json(path)
-    whole = spark.read.option("multiLine", True).json(path)
-    held = [f.name for f in whole.schema if f.dataType.typeName() == "array" and f.dataType.elementType.typeName() == "struct"]
-    return whole.select(F.inline(held[0])) if held else whole
+def sample_text(most: int = 2000) -> Column:
+    """What is embedded of a sample: prompt and response."""
+    return F.substring(clean(F.concat(clean(F.col("prompt")), F.lit("\n\n"), clean(F.col("response")))), 1, most)
