@@ -37,13 +37,30 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str = "table") -> DataFrame:
-    """`df` as a table written to the shared folder: executors that are lost later don't matter."""
+_scratch: list[list[str]] = []
+
+
+def cut(df: DataFrame, what: str = "table", keep: bool = False) -> DataFrame:
+    """`df` as a table written to the shared folder: executors that are lost later don't matter. With `keep`, it outlives `scratch`."""
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are cut meanwhile are deleted at the end, but for those to keep: what is returned must not read them."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes that `df` holds."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

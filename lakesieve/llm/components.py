@@ -35,4 +35,4 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
         found = found.join(step, "label", "left").select("id", F.coalesce("next", "label").alias("label"))
     least = found.groupBy("label").agg(F.min("id").alias("component"))
-    return cut(found.join(least, "label").select("id", "component"), "components")
+    return cut(found.join(least, "label").select("id", "component"), "components", keep=True)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakesieve.llm._bytes import chunks, span_digests, texts_of
-from lakesieve.llm._spark import cut, free_name, released, small_batches
+from lakesieve.llm._spark import cut, free_name, released
 
 WINDOW = 10
 #: Patterns of one automaton; each takes about as many nodes of some 80 bytes as it has words.
@@ -175,5 +175,4 @@ def _spans(starts, ends, hit: list[int]) -> list[list[int]]:
 def filter_documents(df: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `df` without a hit, with its columns."""
     hits = free_name(df.columns, "hit_words")
-    with small_batches(df.sparkSession):
-        return cut(scan(df, items, text).where(F.size(F.col(hits)) == 0).select(*[F.col(f"`{c}`") for c in df.columns]), "clean")
+    return scan(df, items, text).where(F.size(F.col(hits)) == 0).select(*[F.col(f"`{c}`") for c in df.columns])

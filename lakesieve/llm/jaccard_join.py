@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakesieve.llm._blocks import NO_ID, pack, unpack
-from lakesieve.llm._bytes import U64, Texts, chunks, cuts, mix, run_hashes, texts_of, windows, word_hashes
-from lakesieve.llm._spark import cut, partitions, released, small_batches
+from lakesieve.llm._bytes import U64, Texts, bucket_of, chunks, cuts, mix, run_hashes, texts_of, windows, word_hashes
+from lakesieve.llm._spark import cut, partitions, released, scratch, small_batches
 from lakesieve.llm.components import components
 
 WORDS = 5
@@ -222,11 +222,40 @@ def _messages(buckets: int, words: int, similarity):
 
 
 CLOSE, MANY = 1, 2
+#: Stands for the band of pairs that no member leaves.
+NO_BAND = 255
 
 
-def _groups(hot: int, similarity):
+def _distinct(a: np.ndarray, b: np.ndarray, band: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each (a, b, band) once, with all its flags."""
+    by = np.lexsort((band, b, a))
+    a, b, band, flags = a[by], b[by], band[by], flags[by]
+    at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (band[1:] != band[:-1]))))[: len(a)]
+    return a[at], b[at], band[at].astype(np.uint8), np.bitwise_or.reduceat(flags, at).astype(np.uint8)
+
+
+def _stars(found: DataFrame, n: int) -> DataFrame:
+    """(a, b, band, f): the pairs of all groups, each once."""
+
+    def run(batches):
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(part, []).append(blob)
+        while held:
+            _, blobs = held.popitem()
+            columns = _distinct(*(np.concatenate(c) for c in zip(*map(unpack, blobs), strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["a", "b", "band", "f"])
+
+    return found.where("kind = 'stars'").select("bucket", "blob").repartition(n, "bucket").mapInArrow(released(run), "a bigint, b bigint, band bigint, f bigint")
+
+
+def _groups(hot: int, similarity, shares: int = 1):
     """Of groups of two or more ids that share an entry: (least id, member) with the flags CLOSE, if their sizes are alike, and
-    MANY, if the group has others; those of large groups by band, and how many such entries that count a member has."""
+    MANY, if the group has others; those of large groups by band, and how many such entries that count a member has.
+
+    Pairs go out by the least id's hash, in `shares`, as most are found under several entries.
+    """
 
     def run(batches):
         held: dict[int, list[bytes]] = {}
@@ -267,11 +296,11 @@ def _groups(hot: int, similarity):
             other = (member[lead] != member) & (flags > 0)
             for kind, some in (("stars", other & ~large), ("large stars", other & large)):
                 if some.any():
-                    a, m, g = member[lead[some]], member[some], band[row[some]] * (kind != "stars")
-                    by = np.lexsort((g, m, a))
-                    a, m, g, f = a[by], m[by], g[by], flags[some][by]
-                    at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (m[1:] != m[:-1]) | (g[1:] != g[:-1]))))
-                    rows.append((b, kind, pack(a[at], m[at], g[at].astype(np.uint8), np.bitwise_or.reduceat(f, at).astype(np.uint8))))
+                    pairs = _distinct(member[lead[some]], member[some], band[row[some]] if kind != "stars" else np.full(int(some.sum()), NO_BAND), flags[some])
+                    part = bucket_of(mix(pairs[0].astype(U64)), shares).astype(np.int64)
+                    by = np.argsort(part, kind="stable")
+                    edge = np.searchsorted(part[by], np.arange(shares + 1)).tolist()
+                    rows += [(p, "stars", pack(*(c[by[edge[p] : edge[p + 1]]] for c in pairs))) for p in range(shares) if edge[p + 1] > edge[p]]
             yield _batch(rows)
 
     return run
@@ -538,12 +567,12 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     steps = components(edges.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
     every = found.unionByName(steps.select("id", F.col("id").alias("component"))).distinct()
     steps = steps.select(F.col("id").alias("component"), F.col("component").alias("least"))
-    return cut(every.join(steps, "component", "left").select("id", F.coalesce("least", "component").alias("component")), "components")
+    return cut(every.join(steps, "component", "left").select("id", F.coalesce("least", "component").alias("component")), "components", keep=True)
 
 
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity=SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles) of every row, and (id, component) of every document that has a link."""
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), scratch(docs.sparkSession):
         return _linked(docs, doc_id, text, words, similarity)
 
 
@@ -551,17 +580,17 @@ def _linked(docs: DataFrame, doc_id: str, text: str, words: int, similarity) ->
     n = partitions(docs)
     buckets = 2 * n
     narrow = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t"))
-    found = narrow.mapInArrow(released(_messages(buckets, words, similarity)), ROW).repartition(n, "bucket").mapInArrow(released(_groups(HOT, similarity)), ROW)
-    found = cut(found, "groups")
+    found = narrow.mapInArrow(released(_messages(buckets, words, similarity)), ROW).repartition(n, "bucket").mapInArrow(released(_groups(HOT, similarity, n)), ROW)
+    found = cut(found, "groups", keep=True)
     sizes = _rows(found, "sizes", "doc_id bigint, n_shingles bigint")
     twins = _rows(found, "links", "a bigint, b bigint")
     load = _rows(found, "load", "id bigint, band bigint, n bigint, free bigint").groupBy("id", "band").agg(F.sum("n").alias("n"), F.min("free").alias("free"))
     bound = cut(load.where("n >= free").select(F.col("id").alias("b"), "band"), "bound")
     if bound.count() <= MAX_BROADCAST_IDS:
         bound = F.broadcast(bound)
-    star = "a bigint, b bigint, band bigint, f bigint"
-    large = _rows(found, "large stars", star).join(bound, ["b", "band"], "left_semi")
-    stars = cut(_rows(found, "stars", star).unionByName(large.select("a", "b", "band", "f")).groupBy("a", "b").agg(F.bit_or("f").alias("f")), "stars")
+    stars = cut(_stars(found, n), "pairs")
+    large = stars.where(F.col("band") != NO_BAND).join(bound, ["b", "band"], "left_semi")
+    stars = cut(stars.where(F.col("band") == NO_BAND).select("a", "b", "f").unionByName(large.select("a", "b", "f")).groupBy("a", "b").agg(F.bit_or("f").alias("f")), "stars")
     sets = _set_table(docs, _ends(stars), doc_id, text, words, True)
     compared = cut(_compared(stars, sets, True, similarity), "compared").withColumn("g", F.struct("a", "v"))
     alike = compared.where("similar")
