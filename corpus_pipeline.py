@@ -3,6 +3,12 @@
 Each stage gets (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of `documents`; the last
 one returns a row for each copy that the mix takes, with the number of the copy. run() writes what each stage returns as
 Parquet into the shared folder and reads it again, so that a lost executor repeats one stage at most.
+
+Null and empty texts have no words and go in the first stage, as does junk; a very long text is handled whole by every
+stage. A null id is a document of its own: it is nobody's copy, comes last where passages repeat, and draws like any
+other. Rows of equal id share a component, so that all or none of them stay if another document has the least id; equal rows
+have copies of their own in the mix. Ties (equal sizes, equal ranks) go by id, then by the row's hash. An empty table
+passes through every stage as an empty table with the same columns. Extra columns go along, whatever they are called.
 """
 
 from __future__ import annotations

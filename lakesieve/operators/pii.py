@@ -36,7 +36,7 @@ PATTERNS = {
 }
 VERSION = re.compile(r"(?:version|release|ver\.?|v|build|firmware|rev\.?)\s*$")
 VERSION_REACH = 12
-LEAST_DIGITS = 4
+LEAST_DIGITS, WITHOUT_DIGITS = 4, ("secret", "email")
 #: What a secret begins with or holds.
 HINTS = r"sk-|AKIA|ASIA|gh[pousr]_|xox|AIza|hf_|PRIVATE KEY"
 DOUBLED = "0246813579"  # digit sums of the doubles of 0 to 9
@@ -63,22 +63,16 @@ def plausible(kind: str, m: re.Match) -> bool:
 
 
 def spans_of(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) by start. Kinds claim characters in their order, longer matches of a kind first; texts with
-    next to no digits have only secrets and addresses, which may overlap there."""
+    """(start, end, kind) by start. One pass over all matches, by kind and then the longer first: each claims its characters
+    unless some are taken. Texts with next to no digits have only secrets and addresses, which may overlap there."""
     text = text or ""
-    numeric = sum(text.count(d) for d in "0123456789") >= LEAST_DIGITS
-    claimed, out = bytearray(len(text)) if numeric else b"", []
-    for kind, patterns in _COMPILED.items():
-        if not numeric and kind not in ("secret", "email") or kind == "email" and "@" not in text:
-            continue
-        found = [m.span() for p in patterns for m in p.finditer(text) if plausible(kind, m)]
-        for s, e in sorted(found, key=lambda x: (x[0] - x[1], x[0])) if numeric else found:
-            if numeric:
-                if any(claimed[s:e]):
-                    continue
-                claimed[s:e] = b"\1" * (e - s)
-            out.append((s, e, kind))
-    return sorted(out, key=lambda x: x[0])
+    numeric = sum(map(text.count, DIGITS)) >= LEAST_DIGITS
+    ranked = [(rank, m.start() - m.end(), m.start(), m.end(), kind) for rank, (kind, some) in enumerate(_COMPILED.items()) if numeric or kind in WITHOUT_DIGITS for p in some for m in p.finditer(text) if plausible(kind, m)]
+    taken: list[tuple[int, int, str]] = []
+    for _, _, start, end, kind in sorted(ranked):
+        if not numeric or all(end <= a or b <= start for a, b, _ in taken):
+            taken.append((start, end, kind))
+    return sorted(taken, key=lambda t: t[0])
 
 
 def _spans(prompt: pd.Series, context: pd.Series, response: pd.Series) -> pd.Series:

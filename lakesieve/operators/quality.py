@@ -198,6 +198,7 @@ def refusal() -> Column:
 
 def balanced(code: Column) -> Column:
     """Whether brackets outside of strings and comments match; `!` is what no bracket closes."""
+    # fixed values: what strings and comments look like
     code = F.regexp_replace(code, r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', "")
     code = F.regexp_replace(F.regexp_replace(code, r"(?:#|//)[^\n]*", ""), r"[^()\[\]{}]", "")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lakesieve.operators import pii
 from lakesieve.operators import quality as q
 from lakesieve.plans.queries import ASKED
 
@@ -127,6 +128,51 @@ EMBEDDED = f'''words as (select id, unnest(regexp_extract_all(lower(substr({BOTH
 dims as (select id, (256 * ({_hex(1)} + {_hex(9)} + {_hex(17)}) + {_hex(25)}) % 384 as d, count(*) as n from words group by all), made as (select id, count(*) as n_dims, max(n) / sqrt(sum(n * n)) as largest from dims group by id)'''
 LABELS = "res as (select doc_id as id, 'toxic' as check_name, case when toxic = 1 then 'fail' else 'pass' end as severity from labels), st as (select id, bool_or(severity = 'fail') as bad from res group by id)"
 KNOWN = "unnest(['empty_or_short', 'length_outlier', 'exact_duplicate', 'near_duplicate', 'pii', 'non_english', 'refusal_boilerplate', 'formatting'])"
+END, NOT_WORD = r"(?:$|[^\p{L}\p{N}_])", r"[^\p{L}\p{N}_]"
+OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: (kind, rank, what may stand before, the pattern with what must follow, another condition): lookarounds become tests of the characters around.
+SHAPES = [
+    ("secret", 0, NOT_WORD, r"(sk-(?:proj-|ant-)?[A-Za-z0-9_-]{20,})", "true"),
+    ("secret", 0, NOT_WORD, rf"((?:AKIA|ASIA)[0-9A-Z]{{16}}){END}", "true"),
+    ("secret", 0, NOT_WORD, rf"(gh[pousr]_[A-Za-z0-9]{{36,}}){END}", "true"),
+    ("secret", 0, NOT_WORD, r"(xox[abprs]-[A-Za-z0-9-]{10,})", "true"),
+    ("secret", 0, NOT_WORD, rf"(AIza[0-9A-Za-z_-]{{35}}){END}", "true"),
+    ("secret", 0, NOT_WORD, rf"(hf_[A-Za-z0-9]{{30,}}){END}", "true"),
+    ("secret", 0, ".", r"(-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----)", "true"),
+    ("credit_card", 1, NOT_WORD, rf"(\d(?:[ -]?\d){{12,18}}){END}", "true"),
+    ("aadhaar", 2, NOT_WORD, rf"([2-9]\d{{3}}(?: \d{{4}} |-\d{{4}}-)\d{{4}})(?:$|[ -](?:$|\D)|[^\p{{L}}\p{{N}}_ -])", "not regexp_matches(ahead, '\\d[ -]$')"),
+    ("email", 3, r"[^\p{L}\p{N}_.+-]", rf"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}){END}", "true"),
+    ("phone", 4, r"[^\p{L}\p{N}_+]", rf"((?:\+91[\s-]?|0)?[6-9]\d{{4}}[\s-]?\d{{5}}){END}", "true"),
+    ("phone", 4, r"[^\p{L}\p{N}_+]", rf"(\+[1-9]\d{{0,2}}[\s.-]?\(?\d{{1,4}}\)?(?:[\s.-]?\d{{2,4}}){{2,4}}){END}", "not starts_with(w, '+91')"),
+    ("phone", 4, r"[^\p{L}\p{N}_(]", rf"((?:\(\d{{3}}\)\s?|\d{{3}}[.-])\d{{3}}[.-]\d{{4}}){END}", "true"),
+    ("ip_address", 5, r"[^\p{L}\p{N}_.]", rf"((?:{OCTET}\.){{3}}{OCTET})(?:$|[^\p{{L}}\p{{N}}_.]|\.(?:$|\D))", "true"),
+]
+DIGITS_OF = "regexp_replace({0}, '\\D', '', 'g')"
+LUHN = "list_sum(list_transform(string_split(reverse(d), ''), lambda c, i: case when i % 2 = 1 then cast(c as int) else list_extract([0, 2, 4, 6, 8, 1, 3, 5, 7, 9], cast(c as int) + 1) end)) % 10 = 0"
+PLAUSIBLE = f"""case kind when 'credit_card' then len(list_distinct(string_split(d, ''))) > 1 and {LUHN} when 'phone' then length(d) between 10 and 15 and len(list_distinct(string_split(d, ''))) > 2
+  when 'ip_address' then not starts_with(m, '0.') and not regexp_matches(lower(ahead), '(?:version|release|ver\\.?|v|build|firmware|rev\\.?)\\s*$') else true end"""
+_TRIED = " union all ".join(
+    f"select id, f, numeric, p, ahead, '{kind}' as kind, {rank} as rank, {n} as shape, regexp_extract(w, {_text('^' + shape)}, 1) as m from starts where regexp_matches(before, {_text('^(?:$|' + around + ')')}) and {more}" for n, (kind, rank, around, shape, more) in enumerate(SHAPES)
+)
+PII = f"""texts as (select id, f, x, length(regexp_replace(x, '[^0-9]', '', 'g')) >= 4 as numeric from (select id, unnest(['prompt', 'context', 'response']) as f, unnest([prompt, context, response]) as x from samples) where x is not null),
+likely as (select * from texts where numeric or contains(x, '@') or regexp_matches(x, {_text(pii.HINTS)})),
+places as (select id, f, x, numeric, unnest(range(1, length(x) + 1)) as p, unnest(string_split(x, '')) as c, unnest(list_concat([''], string_split(x, '')[:-2])) as before from likely),
+starts as materialized (select *, substr(x, p, 400) as w, substr(x, greatest(p - 12, 1), least(p - 1, 12)) as ahead from places where regexp_matches(c, '[A-Za-z0-9._%+(-]') and (c = '-' or not regexp_matches(before, '[\\p{{L}}\\p{{N}}_]'))),
+tried as ({_TRIED}),
+firsts as (select id, f, numeric, kind, rank, unnest(list_reduce(list_concat([[]], list(lists order by p)), lambda held, s: case when len(held) > 0 and s[1].p < held[-1].e then held else list_concat(held, s) end), max_depth := 1) as s
+  from (select *, [{{'p': p, 'e': p + length(m), 'm': m, 'ahead': ahead}}] as lists from tried where m <> '' and (numeric or kind in ('secret', 'email'))) group by id, f, numeric, kind, rank, shape),
+likely_spans as (select id, f, numeric, kind, rank, s.p as p, s.e as e from (select *, s.m as m, s.ahead as ahead, {DIGITS_OF.format("s.m")} as d from firsts) where {PLAUSIBLE}),
+claimed as (select id, f, list_reduce(list_concat([[]], list([{{'p': p, 'e': e, 'kind': kind, 'numeric': numeric}}] order by rank, p - e, p)),
+  lambda held, s: case when s[1].numeric and len(list_filter(held, lambda h: h.p < s[1].e and s[1].p < h.e)) > 0 then held else list_concat(held, s) end) as spans from likely_spans group by id, f),
+piis as (select id, coalesce(n, 0) as n_spans, coalesce(kinds, []) as kinds, case when n >= 3 or list_has_any(kinds, ['credit_card', 'aadhaar', 'secret']) then 'fail' when n > 0 then 'warn' else 'pass' end as severity
+  from samples left join (select id, sum(len(spans)) as n, list_sort(flatten(list(list_transform(spans, lambda s: s.kind)))) as kinds from claimed group by id) using (id))"""
+
+EXACT = "hashed as (select id, category, tokens_est, row_number() over (partition by content_hash order by id) > 1 as copied, id in (select a.id from k a join g using (key)) as conflict from samples)"
+NEAREST = "nearest as (select id, coalesce(max(jaccard), 0) as j from samples left join near on b = id group by id)"
+CHECKS = f"""checks as (select id, category, unnest(['empty_or_short', 'length_outlier', 'exact_duplicate', 'near_duplicate', 'pii', 'non_english', 'refusal_boilerplate', 'formatting']) as check_name, unnest([short, long, case when copied then 'fail' when conflict then 'warn' else 'pass' end,
+  case when j >= 0.95 and not copied then 'fail' when j > 0 then 'warn' else 'pass' end, pii, case when lang = 'other' then 'warn' else 'pass' end, refused, case when len(found) > 1 then 'fail' when len(found) = 1 then 'warn' else 'pass' end]) as severity
+  from (select id, category, {SHORT} as short, {LENGTH} as long from samples, st) join (select id, copied, conflict from hashed) using (id) join nearest using (id) join (select id, severity as pii from piis) using (id) join langs using (id) join (select id, {REFUSED} as refused from replies) using (id) join issues using (id))"""
+ALL = (STATS, KEYS, EXACT, NEAR, NEAREST, LANGS, REPLIES, FORMS, PII, CHECKS)
 
 
 def _sql(tail, *ctes, base=DOCS):
@@ -198,3 +244,12 @@ from (select unnest(['pending', 'pass', 'warn', 'fail']) as s))""",
     "export_chat": _sql("select id, md5(prompt || coalesce(chr(10) || chr(10) || context, '')) as asked, md5(response) as replied from samples", base=CHATS),
 }
 ORACLES |= {name: _sql(f"select id, tokens_est from samples {'join langs using (id)' if 'lang' in where else ''} where {where}", *([LANGS] if "lang" in where else [])) for name, (_, where) in ASKED.items()}
+ORACLES |= {
+    "check_pii": _sql("select id, cast(n_spans as int) as n_spans, array_to_string(kinds, ',') as kinds, severity from piis", PII),
+    "qc_run_all": _sql("select id, check_name, severity = 'pass' as passed, severity from checks", *ALL),
+    "qc_by_check_summary": _sql("select check_name, count(*) filter (where severity = 'warn') as warn, count(*) filter (where severity = 'fail') as fail from checks group by 1", *ALL),
+    "flagged_checks": _sql("select id, string_agg(check_name, ',' order by check_name) as flagged from checks where severity <> 'pass' group by id", *ALL),
+    "qc_status_counts": _sql(
+        """select category, qc_status, count(*) as n from (select id, category, case when bool_or(severity = 'fail') then 'fail' when bool_or(severity = 'warn') then 'warn' else 'pass' end as qc_status from checks group by id, category) group by all""", *ALL
+    ),
+}

@@ -177,7 +177,7 @@ QUERIES = {
     "distinct_categories": lambda spark, d: s.categories(_docs(spark, d)),
     "category_bars": lambda spark, d: s.category_bars(_docs(spark, d)),
     "export_counts": _exported,
-    "qc_run_all": lambda spark, d: q.qc(_docs(spark, d)).select("id", "check_name", "passed", "severity", "message", "details"),
+    "qc_run_all": lambda spark, d: q.qc(_docs(spark, d)).select("id", "check_name", "passed", "severity"),
     "export_split": lambda spark, d: s.split(_docs(spark, d), 0.1, 42),
     "export_jsonl": lambda spark, d: s.export_lines(_docs(spark, d)).select("id", F.get_json_object("line", "$.category").alias("category"), F.length(F.get_json_object("line", "$.response")).alias("response_chars")),
     "export_chat": lambda spark, d: s.export_lines(from_conversations(spark.read.parquet(f"{d}/conversations.parquet")), "chat").select("id", F.md5(F.get_json_object("line", "$.messages[0].content")).alias("asked"), F.md5(F.get_json_object("line", "$.messages[1].content")).alias("replied")),

@@ -52,8 +52,12 @@ def append_dataset(samples: DataFrame, path: str) -> None:
     samples.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_id").parquet(path)
 
 
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    """Removes a folder, wherever Spark can write; whether there was one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def delete_dataset(spark: SparkSession, path: str, dataset_id: int) -> bool:
     """Removes a dataset's folder of a table by dataset; whether there was one."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(f"{path}/dataset_id={int(dataset_id)}")
-    return place.getFileSystem(conf).delete(place, True)
+    return delete_folder(spark, f"{path}/dataset_id={int(dataset_id)}")
