@@ -5,7 +5,8 @@ a named, versioned set of rules, that is a mask, so applying another policy or f
 bit operations over the ledger, without a second look at the texts.
 
 Null, empty and blank texts have no words: all measurements are 0 and the rules that ask for words fail. A null id, a
-repeated row or an extra column stays as it is; each row is judged by its own text. An empty table gives an empty ledger.
+repeated row or an extra column stays as it is; each row is judged by its own text, whole, however long; a name that the
+kept columns have already gets a leading underscore. An empty table gives an empty ledger.
 """
 
 from __future__ import annotations

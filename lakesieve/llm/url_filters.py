@@ -3,9 +3,9 @@
 A pattern rule names literal tokens (runs of a-z and 0-9) that every URL it fits must contain. Token frequencies are
 counted over all URLs of the table; each rule is indexed by its rarest token, a URL's tokens fetch the candidate rules, and
 only those run their regular expression. Rule lists up to MAX_INLINE entries are looked up in a literal map, without any
-shuffle of the table; longer lists are joined on the token.
+shuffle of the table; longer lists are joined, patterns on the token and host rules on the hosts' endings, for distinct URLs and hosts.
 
-Null URLs and URLs without `://` have an empty host and path, no tokens and the verdict allow. Repeated rows are judged
+Texts of any length are URLs. Null URLs and URLs without `://` have an empty host and path, no tokens and the verdict allow. Repeated rows are judged
 alike, each by its own URL; ids are carried along as they are, null or not; an empty table gives no rows.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesieve.llm._spark import free_name, lower_ascii
@@ -56,6 +56,21 @@ PATTERN_RULES = (
 )
 
 
+def read_rules(spark: SparkSession, path: str) -> tuple[list[HostRule], list[PatternRule]]:
+    """Rules from a text file: `allow|block <host>/<path>`, or `pattern <expression> <tokens by commas>`, parted by tabs; # begins a remark."""
+    hosts, patterns = [], []
+    for r in spark.read.text(path).toLocalIterator():
+        kind, *rest = r.value.strip().split("\t")
+        if kind in ("allow", "block") and len(rest) == 1 and "/" in rest[0]:
+            host, _, tail = rest[0].partition("/")
+            hosts.append(HostRule(host, f"/{tail}", kind))
+        elif kind == "pattern" and rest:
+            patterns.append(PatternRule(rest[0], tuple(t for t in ",".join(rest[1:]).split(",") if t)))
+        elif kind and not kind.startswith("#"):
+            raise ValueError(f"not a rule: {r.value!r}")
+    return hosts, patterns
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     at = F.locate("://", url)
     after = F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
@@ -123,10 +138,18 @@ def judge(df: DataFrame, url: str = "url", keep: list[str] | None = None, host_r
     by_host: dict[str, list[Column]] = {}
     for r in host_rules:
         by_host.setdefault(r.host, []).append(F.struct(F.lit(r.path).alias("path"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict")))
-    if by_host:
+    labels = F.split(F.col(host), "\\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    if len(by_host) > MAX_INLINE:
+        rules = df.sparkSession.createDataFrame([(r.host, r.path, r.name, r.verdict) for r in host_rules], "end string, rule_path string, name string, verdict string")
+        places = found.select(F.col(host).alias("at_host"), F.col(path).alias("at_path"), ends.alias("ends")).distinct().select("at_host", "at_path", F.explode("ends").alias("end"))
+        fits = places.join(rules, "end").where(F.startswith("at_path", "rule_path")).groupBy("at_host", "at_path").agg(F.max(F.struct(F.length("name").alias("n"), "name", "verdict")).alias("fit"))
+        own = {c: free_name([*found.columns, *keep], f"_{c}") for c in fits.columns}
+        fits = fits.withColumnsRenamed(own)
+        found = found.join(fits, (F.col(host) == F.col(own["at_host"])) & (F.col(path) == F.col(own["at_path"])), "left")
+        best = F.col(own["fit"])
+    elif by_host:
         table = _literal_map(by_host)
-        labels = F.split(F.col(host), "\\.")
-        ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
         known = F.filter(ends, lambda e: F.map_contains_key(table, e))
         fits = F.filter(F.flatten(F.transform(known, lambda e: F.try_element_at(table, e))), lambda r: F.startswith(F.col(path), r["path"]))
         best = F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["name"]).alias("n"), r["name"].alias("name"), r["verdict"].alias("verdict"))))

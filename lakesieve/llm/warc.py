@@ -1,13 +1,14 @@
 """WARC archives through a table of payload chunks.
 
 Writing: each payload becomes rows (record id, chunk number) of CHUNK_BYTES at most; every chunk is a WARC record by
-itself (the standard's segmented records: a response or revisit, then `continuation` records), so no step allocates a
-whole record, and Spark's own writer puts the archives wherever it can write. Reading streams the archive files back
+itself (the standard's segmented records: a response or revisit, then `continuation` records). Python slices the payload
+where Arrow holds it and allocates a chunk at a time; the table's row itself is whole, as Spark reads it, and its digest is taken twice, for
+revisits and for the header. Spark's own writer puts the archives wherever it can write. Reading streams the archive files back
 through a small state machine that carries the running SHA-1 of the record at hand from chunk to chunk and compares it
 with the digest in the header.
 
 A payload that an earlier-read record of larger id holds too is written as a revisit, without its bytes. Payloads are
-UTF-8 texts or bytes; null means empty. A row without id gets a random-free id from its digest and is always a response;
+UTF-8 texts or bytes of any length; null means empty. A row without id gets a random-free id from its digest and is always a response;
 rows that repeat id and payload are written each; columns other than id, url and payload aren't read; an empty table
 gives an empty archive and no rows.
 """
@@ -53,17 +54,17 @@ def header(kind: str, record: str, number: int, length: int, fields: dict[str, s
     return "\r\n".join(lines).encode() + END
 
 
-def segments(record: str, url: str | None, payload: bytes, refers_to: str | None, chunk: int):
-    """The WARC records (without the two line ends that close each) of one payload."""
+def segments(record: str, url: str | None, payload: bytes | pa.Buffer, refers_to: str | None, chunk: int):
+    """The WARC records (without the two line ends that close each) of one payload, which is read a chunk at a time."""
     view, sha = memoryview(payload), hashlib.sha1()
     for i in range(0, len(view), chunk):
         sha.update(view[i : i + chunk])
-    common = {"WARC-Target-URI": target_uri(url, record), "WARC-Payload-Digest": f"sha1:{base32(sha.digest())}", "X-Payload-Length": str(len(payload))}
+    common = {"WARC-Target-URI": target_uri(url, record), "WARC-Payload-Digest": f"sha1:{base32(sha.digest())}", "X-Payload-Length": str(len(view))}
     if refers_to is not None:
         common |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<{urn(refers_to)}>"}
         yield header("revisit", record, 1, 0, common)
         return
-    head = HEAD % len(payload)
+    head = HEAD % len(view)
     parts = max(1, -(-len(view) // chunk))
     for k in range(parts):
         part = view[k * chunk : (k + 1) * chunk]
@@ -73,7 +74,7 @@ def segments(record: str, url: str | None, payload: bytes, refers_to: str | None
         else:
             fields["WARC-Segment-Origin-ID"] = f"<{urn(record)}>"
         if parts > 1 and k == parts - 1:
-            fields["WARC-Segment-Total-Length"] = str(len(head) + len(payload))
+            fields["WARC-Segment-Total-Length"] = str(len(head) + len(view))
         start = head if k == 0 else b""
         yield b"".join((header("response" if k == 0 else "continuation", record, k + 1, len(start) + len(part), fields), start, part))
 
@@ -106,7 +107,7 @@ def write_archives(pages: DataFrame, path: str, record: str = "page_id", url: st
         for batch in batches:
             ids, urls, raws, refers = batch.columns
             for i in range(batch.num_rows):
-                for piece in segments(ids[i].as_py(), urls[i].as_py(), raws[i].as_py(), refers[i].as_py(), chunk):
+                for piece in segments(ids[i].as_py(), urls[i].as_py(), raws[i].as_buffer(), refers[i].as_py(), chunk):
                     out.append(piece)
                     size += len(piece)
                     if size >= 4 << 20:

@@ -88,6 +88,17 @@ def test_urls_names_and_rules_without_tokens(spark):
     assert url_filters.judge(df.limit(0), host_rules=(), pattern_rules=()).count() == 0
 
 
+def test_url_rules_from_a_file(spark, tmp_path):
+    (tmp_path / "rules").write_text("# remark\nblock\tnet/\nallow\texample.net/en/\n\npattern\t//ads\\.\tads\n")
+    hosts, patterns = url_filters.read_rules(spark, str(tmp_path / "rules"))
+    assert hosts == [url_filters.HostRule("net", "/", "block"), url_filters.HostRule("example.net", "/en/", "allow")] and patterns == [url_filters.PatternRule("//ads\\.", ("ads",))]
+    df = spark.createDataFrame([(1, "http://example.net/en/x"), (2, "http://q.net"), (3, "http://ads.x.de"), (4, None)], "id int, url string")
+    assert [r.verdict for r in url_filters.judge(df, host_rules=hosts, pattern_rules=patterns).orderBy("id").collect()] == ["allow", "allow", "block", "allow"]
+    (tmp_path / "bad").write_text("deny\tx/")
+    with pytest.raises(ValueError):
+        url_filters.read_rules(spark, str(tmp_path / "bad"))
+
+
 def test_mixing_targets_sizes_and_reruns(spark, sf, tables):
     odd = [(i, "w " * (i % 7), None, ("a", "b", None, "Z")[i % 4]) for i in range(400)] + [(None, "x", None, "a"), (1, None, None, "empty"), (3, "w w w", None, "Z")]
     for folder in (sf, tables(documents=odd)):
