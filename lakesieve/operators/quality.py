@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from string import ascii_letters
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +39,8 @@ REFUSALS = [
     r"my knowledge cutoff",
     r"(?:trained|developed|created) by openai",
 ]
+#: Every refusal holds one of these.
+REFUSAL_PARTS = ("an ai", "a large language model", "sorry", "i can", "able to", "have personal", "knowledge cutoff", "by openai")
 DANGLING = """the a an and or but nor of to in on at for with by from as that which who whose is are was were be been their
 his her its our your my this these those into than because although while if when where whether such""".split()
 REPEATED, ECHO_WORDS, ECHO_CONTAINED, ECHO_COVERED, TRUNCATED_WORDS = 20, 8, 0.9, 0.95, 50
@@ -177,11 +180,14 @@ def non_english() -> Column:
 def refusal_told() -> Column:
     """struct<severity, phrases, vendor_mentions, words>."""
     reply = F.replace(F.col("response"), F.lit("’"), F.lit("'"))
-    phrases = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(reply, F.lit(f"(?iu)({'|'.join(REFUSALS)})"), F.lit(1)), F.lower)))
+    low = F.lower(reply)
+    worth = functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in REFUSAL_PARTS))
+    found = F.when(worth, F.regexp_extract_all(reply, F.lit(f"(?iu)({'|'.join(REFUSALS)})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    phrases = F.array_sort(F.array_distinct(F.transform(found, F.lower)))
     # fixed value: a vendor beside the first person
     near = r"(?iu)\b(?:I|I'm|me|my)\b[^.\n]{0,60}\b(?:openai|chatgpt)\b|\b(?:openai|chatgpt)\b[^.\n]{0,60}\b(?:I|I'm|me|my)\b"
     asked = F.concat_ws(" ", "prompt", "context").rlike(r"(?iu)\b(?:openai|chatgpt)\b")
-    maybe = F.contains(F.lower(reply), F.lit("openai")) | F.contains(F.lower(reply), F.lit("chatgpt"))
+    maybe = F.contains(low, F.lit("openai")) | F.contains(low, F.lit("chatgpt"))
     vendor = F.when(maybe & ~asked, F.regexp_count(reply, F.lit(near))).otherwise(0)
     held = F.struct(phrases.alias("phrases"), vendor.alias("vendor"), F.size(split_words(reply)).alias("words"))
 
@@ -221,9 +227,11 @@ def _issues(w: Column) -> Column:
     sizes = lambda t: F.struct(F.size(t["m"]).alias("m"), F.size(t["a"]).alias("a"), F.size(F.array_intersect(t["m"], t["a"])).alias("c"))
     alike = lambda n: (n["a"] > 0) & (n["c"] >= ECHO_CONTAINED * n["m"]) & (n["c"] >= ECHO_COVERED * n["a"])
     sets = F.struct(trigrams(w).alias("m"), trigrams(words(F.col("prompt"))).alias("a"))
-    echo = (F.size(w) >= ECHO_WORDS) & bound(sets, lambda t: bound(sizes(t), alike))
+    # as many trigrams as distinct words at least, but for two: most replies have too many for their prompt
+    few = ECHO_CONTAINED * (F.size(F.array_distinct(w)) - 2) <= F.size(words(F.col("prompt")))
+    echo = (F.size(w) >= ECHO_WORDS) & few & bound(sets, lambda t: bound(sizes(t), alike))
     blocks = F.regexp_extract_all(reply, F.lit(r"(?s)```[^\n]*\n(.*?)```"), F.lit(1))
-    ended = F.regexp_replace(reply, f"{SPACE}+$", "")
+    ended = F.rtrim(reply, F.lit(BLANKS))
     line = strip(F.element_at(F.split(ended, r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), -1))
     opened = lambda x, y: F.length(F.translate(line, x, "")) < F.length(F.translate(line, y, ""))
     dangling = F.try_element_at(w, F.lit(-1)).isin(*DANGLING) | opened("[", "]") | opened("(", ")")
@@ -231,7 +239,7 @@ def _issues(w: Column) -> Column:
     tests = {
         "unbalanced_code_fence": F.regexp_count(reply, F.lit("```")) % 2 == 1,
         "unbalanced_brackets": F.exists(blocks, lambda b: ~balanced(b)),
-        "repeated_characters": reply.rlike(rf"(?U)(\S)\1{{{REPEATED - 1},}}"),
+        "repeated_characters": reply.rlike(rf"([^{SPACE[1:-1]}])\1{{{REPEATED - 1},}}"),
         "prompt_echo": echo,
         "truncated": truncated,
     }
