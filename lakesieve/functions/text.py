@@ -40,6 +40,11 @@ def clean(x: Column, kind: T.DataType = T.StringType()) -> Column:
     return strip(F.translate(plain(x, kind), "\0", ""))
 
 
+def count_of(x: Column, kind: str) -> Column:
+    """How many characters are of a class of a regular expression; they are found a run at a time."""
+    return F.length(x) - F.length(F.regexp_replace(x, f"[{kind}]+", ""))
+
+
 def split_words(x: Column) -> Column:
     """What white space separates."""
     return F.filter(F.split(x, rf"{SPACE}+"), lambda w: w != "")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesieve.functions.text import bound, words
-from lakesieve.store import small, written
+from lakesieve.store import small, spread, written
 
 GRAM, PERCENT, FAIL, RESPONSE = 5, 85, 0.95, 0.5
 
@@ -24,9 +24,14 @@ def shingles(w: Column) -> Column:
     return bound(w, grams)
 
 
-def near_pairs(samples: DataFrame) -> DataFrame:
-    """(a, b, jaccard), a < b, among first copies: shingle Jaccard of prompt and response from 0.85, word Jaccard of responses from 0.5."""
-    firsts = samples.groupBy("content_hash").agg(F.min("id").alias("id")).select("id")
+def near_pairs(samples: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """(a, b, jaccard), a < b, among first copies: shingle Jaccard of prompt and response from 0.85, word Jaccard of responses from 0.5.
+
+    `hashes` (id, content_hash) spares a second look at the texts for them.
+    """
+    samples = spread(samples)
+    firsts = (samples if hashes is None else hashes).groupBy("content_hash").agg(F.min("id").alias("id")).select("id")
+    firsts = firsts if hashes is None else small(firsts, "firsts")
     texts = samples.join(firsts, "id", "left_semi").select("id", words(F.concat_ws("\n", "prompt", "response")).alias("w"), F.array_distinct(words(F.col("response"))).alias("r"))
     sets = written(texts.select("id", shingles(F.col("w")).alias("s"), "r"), "sets")
     grams = sets.select("id", F.size("s").alias("m"), F.explode("s").alias("h"))

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import functools
-from string import ascii_letters
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesieve.functions.text import BLANKS, SPACE, bound, collapsed, split_words, strip, words
+from lakesieve.functions.text import BLANKS, SPACE, bound, collapsed, count_of, split_words, strip, words
 from lakesieve.operators.near import FAIL, near_lists, near_pairs
 from lakesieve.operators.pii import pii_severity, pii_spans
-from lakesieve.store import small, written
+from lakesieve.store import small, spread, written
 
 MIN_WORDS, MIN_CHARS = 3, 15
 MIN_SAMPLES, WARN_Z, FAIL_Z = 20, 3.0, 4.5
@@ -70,17 +70,20 @@ def told(severity: Column, message: Column, **details: Column) -> Column:
     return F.struct(severity.alias("severity"), message.alias("message"), F.to_json(F.struct(*(v.alias(k) for k, v in details.items()))).alias("details"))
 
 
-def empty_or_short() -> Column:
-    n = F.size(split_words(F.col("response")))
+def reply_words() -> Column:
+    return F.size(split_words(F.col("response")))
+
+
+def empty_or_short(words: Column | None = None) -> Column:
+    n = reply_words() if words is None else words
     return severity((F.col("prompt") == "") | (F.col("response") == ""), (n < MIN_WORDS) | (F.length("response") < MIN_CHARS))
 
 
-def empty_or_short_told() -> Column:
+def empty_or_short_told(words: Column) -> Column:
     no_prompt, no_reply = F.col("prompt") == "", F.col("response") == ""
-    words = F.size(split_words(F.col("response")))
     message = F.when(no_prompt & no_reply, "prompt and response are empty").when(no_reply, "response is empty").when(no_prompt, "prompt is empty").otherwise(F.format_string("response of %d words and %d characters", words, F.length("response")))
     empty = no_prompt | no_reply
-    return told(empty_or_short(), message, prompt_chars=F.when(empty, F.length("prompt")), response_words=F.when(~empty, words), response_chars=F.length("response"))
+    return told(empty_or_short(words), message, prompt_chars=F.when(empty, F.length("prompt")), response_words=F.when(~empty, words), response_chars=F.length("response"))
 
 
 def length_outlier(samples: DataFrame, stats: DataFrame | None = None) -> DataFrame:
@@ -132,7 +135,7 @@ def prompt_conflicts(samples: DataFrame) -> DataFrame:
 
 def language_told(text: Column) -> Column:
     """struct<lang, letters, ascii_share, en_stopword_ratio, foreign_stopword_ratio>."""
-    letters, latin = F.regexp_count(text, F.lit(r"[\p{L}\p{Nl}\p{No}]")), F.length(text) - F.length(F.translate(text, ascii_letters, ""))
+    letters, latin = count_of(text, r"\p{L}\p{Nl}\p{No}"), count_of(text, "A-Za-z")
 
     def measures(w):
         n = F.size(w)
@@ -155,9 +158,10 @@ def language(text: Column) -> Column:
 
 
 def code_like(text: Column) -> Column:
-    ink = F.length(F.translate(text, BLANKS, ""))
-    symbols = F.length(text) - F.length(F.translate(text, CODE_SYMBOLS, ""))
-    return F.contains(text, F.lit("```")) | ((ink >= 20) & (F.try_divide(symbols, ink) >= 0.08))
+    ink = F.length(text) - count_of(text, SPACE[1:-1])
+    symbols = count_of(text, re.sub(r"(\W)", r"\\\1", CODE_SYMBOLS))
+    # two symbols are the least that can be 8% of 20 characters
+    return F.contains(text, F.lit("```")) | bound(symbols, lambda n: (n >= 2) & (ink >= 20) & (F.try_divide(n, ink) >= 0.08))
 
 
 def non_english_told() -> Column:
@@ -167,35 +171,34 @@ def non_english_told() -> Column:
 
     def judged(t):
         code = code_like(t["both"])
-        few = F.regexp_count(t["prompt"], F.lit(r"\p{L}")) < 20
-        return F.when(code & (code_like(t["prompt"]) | few), F.lit(None)).otherwise(language_told(F.when(code, t["prompt"]).otherwise(t["both"])))
+        few = count_of(t["prompt"], r"\p{L}") < 20
+        return F.when(code, F.when(~code_like(t["prompt"]) & ~few, t["prompt"])).otherwise(t["both"])
 
-    return bound(texts, judged)
+    return bound(bound(texts, judged), lambda x: F.when(x.isNotNull(), language_told(x)))
 
 
 def non_english() -> Column:
     return F.coalesce(non_english_told()["lang"], F.lit("en"))
 
 
-def refusal_told() -> Column:
-    """struct<severity, phrases, vendor_mentions, words>."""
-    reply = F.replace(F.col("response"), F.lit("’"), F.lit("'"))
-    low = F.lower(reply)
-    worth = functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in REFUSAL_PARTS))
-    found = F.when(worth, F.regexp_extract_all(reply, F.lit(f"(?iu)({'|'.join(REFUSALS)})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    phrases = F.array_sort(F.array_distinct(F.transform(found, F.lower)))
+def refusal_told(words: Column | None = None) -> Column:
+    """struct<severity, phrases, vendor_mentions, words>; all in lower case."""
     # fixed value: a vendor beside the first person
-    near = r"(?iu)\b(?:I|I'm|me|my)\b[^.\n]{0,60}\b(?:openai|chatgpt)\b|\b(?:openai|chatgpt)\b[^.\n]{0,60}\b(?:I|I'm|me|my)\b"
-    asked = F.concat_ws(" ", "prompt", "context").rlike(r"(?iu)\b(?:openai|chatgpt)\b")
-    maybe = F.contains(low, F.lit("openai")) | F.contains(low, F.lit("chatgpt"))
-    vendor = F.when(maybe & ~asked, F.regexp_count(reply, F.lit(near))).otherwise(0)
-    held = F.struct(phrases.alias("phrases"), vendor.alias("vendor"), F.size(split_words(reply)).alias("words"))
+    near = r"\b(?:i|i'm|me|my)\b[^.\n]{0,60}\b(?:openai|chatgpt)\b|\b(?:openai|chatgpt)\b[^.\n]{0,60}\b(?:i|i'm|me|my)\b"
+    asked = F.lower(F.concat_ws(" ", "prompt", "context")).rlike(r"\b(?:openai|chatgpt)\b")
+
+    def found(low):
+        worth = functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in REFUSAL_PARTS))
+        phrases = F.when(worth, F.regexp_extract_all(low, F.lit(f"({'|'.join(REFUSALS)})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+        maybe = F.contains(low, F.lit("openai")) | F.contains(low, F.lit("chatgpt"))
+        vendor = F.when(maybe & ~asked, F.regexp_count(low, F.lit(near))).otherwise(0)
+        return F.struct(F.array_sort(F.array_distinct(phrases)).alias("phrases"), vendor.alias("vendor"), (reply_words() if words is None else words).alias("words"))
 
     def judged(h):
         some = F.size(h["phrases"]) > 0
         return F.struct(severity(some & (h["words"] <= REFUSAL_WORDS), some | (h["vendor"] > 0)).alias("severity"), h["phrases"].alias("phrases"), h["vendor"].alias("vendor_mentions"), h["words"].alias("words"))
 
-    return bound(held, judged)
+    return bound(bound(F.lower(F.replace(F.col("response"), F.lit("’"), F.lit("'"))), found), judged)
 
 
 def refusal() -> Column:
@@ -252,10 +255,9 @@ def formatting() -> Column:
 
 def row_checks(samples: DataFrame) -> DataFrame:
     """What the checks of single samples say, in one pass over the texts; without the texts."""
-    spans = pii_spans()
-    held = samples.withColumn("spans", spans).select(
+    held = spread(samples).withColumn("spans", pii_spans()).withColumn("n_words", reply_words()).select(
         "id", "dataset_id", "sample_index", "category", "tokens_est", F.coalesce("content_hash", fallback_hash()).alias("content_hash"), prompt_key().alias("prompt_key"),
-        empty_or_short_told().alias("empty_or_short"), F.col("spans"), non_english_told().alias("language"), refusal_told().alias("refused"), formatting_issues().alias("issues"),
+        empty_or_short_told(F.col("n_words")).alias("empty_or_short"), F.col("spans"), non_english_told().alias("language"), refusal_told(F.col("n_words")).alias("refused"), formatting_issues().alias("issues"),
     )
     kinds = F.aggregate("spans", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")), _counted)
     foreign = F.coalesce(F.col("language.lang"), F.lit("en"))
@@ -289,7 +291,7 @@ def qc(samples: DataFrame) -> DataFrame:
     facts = written(row_checks(samples), "checks")
     stats = small(length_stats(facts), "stats")
     copies, same = exact_duplicates(facts), prompt_conflicts(facts).select("id", "same_prompt_as")
-    near = near_lists(near_pairs(samples.withColumn("content_hash", F.coalesce("content_hash", fallback_hash()))), facts.select("id", "sample_index"))
+    near = near_lists(near_pairs(samples, facts), facts.select("id", "sample_index"))
     held = length_outlier(facts, stats).withColumnRenamed("severity", "length")
     for more in (copies, same, near):
         held = held.join(small(more, "lists"), "id", "left")

@@ -42,6 +42,12 @@ def small(df: DataFrame, what: str = "table") -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt to all cores where it has fewer partitions than there are; a large table has more and stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= n else df.repartition(n)
+
+
 def positions(df: DataFrame, order: list[Column | str], name: str = "position") -> DataFrame:
     """`df` with the place of each row in an order, from 0, without a task that sees all rows.
 
