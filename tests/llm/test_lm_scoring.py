@@ -96,3 +96,11 @@ def test_repeated_rows_without_id_and_no_rows(spark):
     df = spark.createDataFrame([(None, "a b", 1), (2, "a b", 2), (2, "a b", 3)], "doc_id bigint, text string, score int")
     assert [r.n_tokens for r in lm_scoring.score(df).collect()] == [3, 3, 3]
     assert lm_scoring.score(df.limit(0)).count() == 0
+
+
+def test_a_very_long_text_is_scored_whole(spark):
+    long = "some words of a long text " * 120_000
+    df = spark.createDataFrame([(2, long), (3, "some words"), (4, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in lm_scoring.score(df).collect()}
+    assert got[2].n_tokens == 6 * 120_000 + 1 and got[4].n_tokens == 1
+    assert 0 < got[2].bits_per_symbol < 0.1 and got[2].score < 0

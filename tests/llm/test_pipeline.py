@@ -51,3 +51,24 @@ def test_stages_pass_columns_on(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_odd_rows_pass_every_stage(spark, tables):
+    import random
+
+    rnd = random.Random(4)
+    text = lambda n: " ".join(f"w{rnd.randint(0, 4000)}" for _ in range(n))
+    same, passage = text(80), text(40)
+    rows = [(1, same), (2, same), (2, same), (None, text(60)), (None, text(60)), (3, None), (4, ""), (5, " \n"), (6, text(30_000)), (7, text(50) + " " + passage), (8, passage + " " + text(50)), (9, "x " * 400)]
+    rows = [(i, t, "en", "s" if k % 2 else None, None if t is None else len(t), k, 0) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, copy int, Size int")
+    folder = tables(benchmark=[(1, "an item of the benchmark that nobody has")])
+    for name, stage in corpus_pipeline.STAGES:
+        new = stage(spark, docs, folder)
+        if stage is corpus_pipeline.mixed:
+            assert new.columns == [*docs.columns, "_copy"]
+        else:
+            assert new.columns == docs.columns, name
+        docs = corpus_pipeline.cut(new, "odd")
+    kept = [r.doc_id for r in docs.collect()]
+    assert {i for i in kept if i is not None} <= {1, 6, 7, 8} and kept
