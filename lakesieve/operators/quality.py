@@ -49,10 +49,10 @@ CODE_SYMBOLS = "{}()[];=<>#$_\\|&*/+`"
 
 def length_stats(samples: DataFrame) -> DataFrame:
     """One row (n, median_tokens, center, scale, method): the scale is the MAD, else the IQR, else the mean deviation."""
-    x = samples.select(F.log1p("tokens_est").alias("x"), "tokens_est")
+    x = written(spread(samples).select(F.log1p("tokens_est").alias("x"), "tokens_est"), "lengths")
     base = x.agg(F.count("*").alias("n"), F.median("tokens_est").alias("median_tokens"), F.median("x").alias("center"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    spread = x.join(F.broadcast(base.select("center"))).agg(F.median(F.abs(F.col("x") - F.col("center"))).alias("mad"), F.avg(F.abs(F.col("x") - F.col("center"))).alias("dev"))
-    both = base.join(F.broadcast(spread))
+    about = x.join(F.broadcast(base.select("center"))).agg(F.median(F.abs(F.col("x") - F.col("center"))).alias("mad"), F.avg(F.abs(F.col("x") - F.col("center"))).alias("dev"))
+    both = base.join(F.broadcast(about))
     iqr = F.col("q")[1] - F.col("q")[0]
     ways = ((F.col("mad") > 0, "mad", F.col("mad") * 1.4826), (iqr > 0, "iqr", iqr / 1.349), (F.col("dev") > 0, "meanabs", F.col("dev") * 1.2533))
     method, scale = F.lit("constant"), F.lit(0.0)
@@ -104,10 +104,9 @@ def first_of(rows: DataFrame, key: list[str], most: int, name: str, *more: str)
 
 def exact_duplicates(samples: DataFrame) -> DataFrame:
     """Samples that repeat earlier ones, with the first COPIES ids of their group before them."""
-    samples = samples.select("id", "sample_index", "content_hash")
+    samples = written(spread(samples.select("id", "sample_index", "content_hash")), "hashes")
     several = samples.groupBy("content_hash").agg(F.count("*").alias("n")).where("n > 1").select("content_hash")
-    held = samples.join(small(several, "hashes"), "content_hash", "left_semi")
-    held = written(held, "copies")
+    held = written(samples.join(small(several, "several"), "content_hash", "left_semi"), "copies")
     both = held.join(small(first_of(held, ["content_hash"], COPIES, "first"), "first"), "content_hash")
     earlier = F.transform(F.filter("first", lambda x: x < F.struct(F.col("sample_index"), F.col("id"))), lambda x: x["id"])
     return both.select("id", earlier.alias("duplicate_of")).where(F.size("duplicate_of") > 0)
@@ -122,7 +121,8 @@ def prompt_key() -> Column:
 def prompt_conflicts(samples: DataFrame) -> DataFrame:
     """Samples whose prompt and context stand with another response too: how many distinct contents, least id, and the first
     COPIES other samples with another content."""
-    keyed = samples.select("id", "sample_index", "content_hash", (F.col("prompt_key") if "prompt_key" in samples.columns else prompt_key()).alias("key")).where("key is not null")
+    key = F.col("prompt_key") if "prompt_key" in samples.columns else prompt_key()
+    keyed = written(spread(samples).select("id", "sample_index", "content_hash", key.alias("key")), "keys").where("key is not null")
     groups = keyed.groupBy("key").agg(F.countDistinct("content_hash").alias("n_contents"), F.count("*").alias("n_samples"), F.min("id").alias("first_id")).where("n_contents > 1")
     groups = small(groups, "groups")
     keyed = written(keyed.join(groups.select("key"), "key", "left_semi"), "conflicts")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesieve.functions.text import like_pattern
-from lakesieve.store import positions
+from lakesieve.store import positions, spread, written
 
 
 BIN_DIGITS = 3
@@ -121,6 +121,7 @@ def category_counts(samples: DataFrame, limit: int = 30) -> DataFrame:
 
 def token_histogram(samples: DataFrame, buckets: int = 12) -> DataFrame:
     """Equal widths from the least value to the 99th percentile; the last bucket is open."""
+    samples = written(spread(samples).select("tokens_est"), "lengths")
     edge = samples.agg(F.min("tokens_est").alias("lo"), F.expr("percentile_disc(0.99) within group (order by tokens_est)").cast("bigint").alias("hi"), F.max("tokens_est").alias("top"))
     width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo")) / buckets)).cast("bigint")
     edge = edge.where("lo is not null").withColumn("width", width)
